@@ -12,19 +12,45 @@ from pyspark.sql import functions as F
 
 from tessera.llm.exact_dedup import exact_dedup
 from tessera.llm.packing import pack
+from tessera.llm.quality import quality_scores
 from tessera.llm.shared import documents
+from tessera.llm.simhash import near_duplicates
+from tessera.llm.toxicity import toxicity
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir), keep="largest")
 
 
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(documents(spark, sf_dir), shingle=3, radius=2)
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(documents(spark, sf_dir), _labels(spark, sf_dir))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(documents(spark, sf_dir), _labels(spark, sf_dir))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
     return pack(documents(spark, sf_dir), path, end_id=2).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op10_packing": op10_packing}
+QUERIES = {
+    "op1_exact_dedup": op1_exact_dedup,
+    "op4_simhash": op4_simhash,
+    "op5_quality": op5_quality,
+    "op6_toxicity": op6_toxicity,
+    "op10_packing": op10_packing,
+}
 
 ORACLE_SQL = {
     "op1_exact_dedup": """
