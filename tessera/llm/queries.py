@@ -10,6 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm import pii, syncmers
 from tessera.llm.exact_dedup import exact_dedup
 from tessera.llm.packing import pack
 from tessera.llm.quality import quality_scores
@@ -22,6 +23,19 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir), keep="largest")
 
 
+def op2_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = syncmers.edited_fingerprints(documents(spark, sf_dir))
+    return found.select(
+        "doc_id",
+        F.length("text").cast("long").alias("n_chars"),
+        F.sha2("edited", 256).alias("edited_sha256"),
+        syncmers.as_string(F.col("fp")).alias("fingerprint"),
+        syncmers.as_string(F.col("edited_fp")).alias("edited_fingerprint"),
+        syncmers.likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"),
+        syncmers.likeness(F.col("fp"), F.col("next_fp")).alias("near_next"),
+    )
+
+
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
@@ -39,6 +53,19 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(documents(spark, sf_dir), _labels(spark, sf_dir))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.spans(documents(spark, sf_dir))
+    kinds = F.array(*[F.lit(k) for k in pii.KINDS])
+    base = F.filter("spans", lambda s: s["base"])
+    written = lambda a: F.array_join(F.transform(a, lambda s: F.concat_ws(":", F.element_at(kinds, s["rank"] + 1), s["start"].cast("string"), s["stop"].cast("string"))), ",")
+    counts = [_of_kind(rank).alias(f"n_{k}") for rank, k in enumerate(pii.BASE)]
+    return found.select("doc_id", *counts, F.sha2(written(base), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
+
+
+def _of_kind(rank: int):
+    return F.size(F.filter("spans", lambda s: s["base"] & (s["rank"] == rank))).cast("long")
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
     return pack(documents(spark, sf_dir), path, end_id=2).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -46,9 +73,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_syncmers": op2_syncmers,
     "op4_simhash": op4_simhash,
     "op5_quality": op5_quality,
     "op6_toxicity": op6_toxicity,
+    "op8_pii": op8_pii,
     "op10_packing": op10_packing,
 }
 
