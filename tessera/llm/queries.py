@@ -12,9 +12,11 @@ from pyspark.sql import functions as F
 
 from tessera.llm import pii, syncmers
 from tessera.llm.exact_dedup import exact_dedup
+from tessera.llm.line_dedup import deduplicated
 from tessera.llm.packing import pack
 from tessera.llm.quality import quality_scores
 from tessera.llm.shared import documents
+from tessera.llm.sharding import place
 from tessera.llm.simhash import near_duplicates
 from tessera.llm.toxicity import toxicity
 
@@ -36,6 +38,11 @@ def op2_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = deduplicated(documents(spark, sf_dir))
+    return found.select("row.doc_id", "n_lines", "n_deleted", F.sha2("text", 256).alias("text_sha256"))
+
+
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
@@ -53,6 +60,11 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(documents(spark, sf_dir), _labels(spark, sf_dir))
 
 
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = place(documents(spark, sf_dir), [f"shard-{i:03d}" for i in range(256)])
+    return placed.select("row.doc_id", "slot", "shard", F.octet_length(F.coalesce("row.text", F.lit(""))).cast("long").alias("n_bytes"))
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.spans(documents(spark, sf_dir))
     kinds = F.array(*[F.lit(k) for k in pii.KINDS])
@@ -74,9 +86,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_syncmers": op2_syncmers,
+    "op3_line_dedup": op3_line_dedup,
     "op4_simhash": op4_simhash,
     "op5_quality": op5_quality,
     "op6_toxicity": op6_toxicity,
+    "op7_sharding": op7_sharding,
     "op8_pii": op8_pii,
     "op10_packing": op10_packing,
 }
@@ -87,5 +101,25 @@ WITH t AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVW
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
        doc_id = max(doc_id) OVER w AS kept, sha256(body) AS text_sha256
 FROM t WINDOW w AS (PARTITION BY body)
+""",
+    "op3_line_dedup": r"""
+WITH l AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+         generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i
+  FROM documents),
+w AS (
+  SELECT *, lead(line, 1) OVER p AS l2, lead(line, 2) OVER p AS l3,
+         row_number() OVER (PARTITION BY line ORDER BY doc_id, i) > 1 AS later,
+         len(list_filter(string_split_regex(line, '[ \t\v\f\r]+'), lambda x: x <> '')) AS words
+  FROM l WINDOW p AS (PARTITION BY doc_id ORDER BY i)),
+r AS (
+  SELECT *, l3 IS NOT NULL AND row_number() OVER (PARTITION BY line, l2, l3 ORDER BY doc_id, i) > 1 AS run FROM w),
+g AS (
+  SELECT doc_id, i, line,
+         (later AND words >= 10) OR run OR coalesce(lag(run, 1) OVER p, FALSE) OR coalesce(lag(run, 2) OVER p, FALSE) AS gone
+  FROM r WINDOW p AS (PARTITION BY doc_id ORDER BY i))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_deleted,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS text_sha256
+FROM g GROUP BY doc_id
 """,
 }
