@@ -120,3 +120,17 @@ def quality_scores(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS,
     model = fit(sample(docs, labels, "quality", rows))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return texts.mapInArrow(_scored(model), "doc_id long, score double").select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text scores ``threshold`` or more."""
+    small_batches(docs.sparkSession)
+    model, at = fit(sample(docs, labels, "quality", rows)), docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                scores = model.scores([t or b"" for t in batch.column(at).cast(pa.binary()).to_pylist()])
+                yield batch.filter(pa.array(scores >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)

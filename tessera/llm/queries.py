@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import pii, syncmers
+from tessera.llm import pieces, pii, syncmers
 from tessera.llm.exact_dedup import exact_dedup
 from tessera.llm.line_dedup import deduplicated
 from tessera.llm.packing import pack
@@ -78,6 +78,15 @@ def _of_kind(rank: int):
     return F.size(F.filter("spans", lambda s: s["base"] & (s["rank"] == rank))).cast("long")
 
 
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every text, and whether decoding them gives the text back."""
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    texts = documents(spark, sf_dir)
+    encoded = pieces.encode(texts, path)
+    back = pieces.with_decoded(encoded, path)
+    return back.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_ids"), F.crc32("ids").alias("ids_crc32"), F.length("text").cast("long").alias("decoded_chars"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
     return pack(documents(spark, sf_dir), path, end_id=2).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -92,6 +101,7 @@ QUERIES = {
     "op6_toxicity": op6_toxicity,
     "op7_sharding": op7_sharding,
     "op8_pii": op8_pii,
+    "op9_sentencepiece": op9_sentencepiece,
     "op10_packing": op10_packing,
 }
 

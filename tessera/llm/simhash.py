@@ -124,3 +124,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, id_col:
     roots = components(links(nodes.where("node IS NOT NULL"), radius))
     classes = nodes.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
     return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
+
+
+def keep_one(docs: DataFrame, shingle: int = 3, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, that name their class: one identifier of each class stays.
+
+    Rows without identifier name no class and stay; of rows that repeat an
+    identifier one stays.
+    """
+    classes = near_duplicates(docs, shingle, radius, id_col, text_col)
+    names = classes.where("doc_id = component_id").select(F.col("doc_id").alias("_name")).distinct()
+    own = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
+    kept = own.join(names, F.col("_id") == F.col("_name"), "left_semi")
+    return kept.dropDuplicates(["_id"]).unionByName(own.where("_id IS NULL")).select("row.*")
