@@ -23,8 +23,8 @@ from tessera.llm.word_bpe import encoder
 
 WINDOW_TOKENS = 4096
 OPEN_WINDOWS = 32
-#: Partitions whose leftovers one task merges: 32 x 32 windows of 16 KB at most.
-MERGED_PARTITIONS = 32
+#: Partitions whose leftovers one task merges: 8 x 32 windows of 16 KB at most.
+MERGED_PARTITIONS = 8
 
 _ROW = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary, leftover long"
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("ids", pa.binary()), ("leftover", pa.int64())])
