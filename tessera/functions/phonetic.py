@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 _VOWELS = set("AEIOU")
 
@@ -100,7 +101,7 @@ def code(word: str) -> str:
     return "".join(out)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def metaphone(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Codes of the space-separated words of each text, joined by spaces; null stays null."""
     known: dict[str, str] = {}

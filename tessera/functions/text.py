@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from tessera.functions import lexicon
 
@@ -41,7 +42,7 @@ def _romanised(ch: str) -> str:
     return ""
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def to_ascii(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Any script to ASCII, letter by letter; for texts that ``plain_latin`` leaves with other letters."""
     known: dict[str, str] = {}
