@@ -111,6 +111,17 @@ class PatriciaTrie:
             stack += x.next.values()
         return total
 
+    @staticmethod
+    def _spilled(file) -> Iterator[tuple[bytes, object]]:
+        """The entries of a spilled subtree: what follows its label, and the value."""
+        file.seek(0)
+        while True:
+            try:
+                yield pickle.load(file)
+            except EOFError:
+                break
+        file.close()
+
     def _shed(self) -> None:
         fork = self.root
         while len(fork.next) == 1 and fork.value is None and fork.spill is None:
@@ -120,10 +131,14 @@ class PatriciaTrie:
             for path, x in self._walk(child):
                 if x.value is not None:
                     pickle.dump((path[1:], x.value), file, protocol=5)
+                if x.spill is not None:  # a part that went to disk before moves along
+                    for rest, value in self._spilled(x.spill):
+                        pickle.dump((path[1:] + rest, value), file, protocol=5)
             child.label, child.next, child.value, child.spill = child.label[:1], {}, None, file
             self.held -= weight
             if self.held <= self.limit // 2:
                 break
+        self.held = self._weight(self.root)
 
     def values(self) -> Iterator[object]:
         """The merged value of every distinct key."""
@@ -137,14 +152,9 @@ class PatriciaTrie:
             stack += x.next.values()
         self.root, self.held = _Node(b""), 0
         for file in spilled:
-            file.seek(0)
             below = PatriciaTrie(self.merge, self.limit, self.folder)
-            while True:
-                try:
-                    below.insert(*pickle.load(file))
-                except EOFError:
-                    break
-            file.close()
+            for rest, value in self._spilled(file):
+                below.insert(rest, value)
             yield from below.values()
 
 
