@@ -7,10 +7,6 @@ ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
 os.environ["PYTHONPATH"] = os.pathsep.join([ROOT, os.environ.get("PYTHONPATH", "")])
 
-SMALL = "/root/testdata/sf0.001"
-TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-
-
 @pytest.fixture(scope="session")
 def spark():
     from pyspark.sql import SparkSession
@@ -25,18 +21,9 @@ def spark():
 def duck():
     import duckdb
 
+    from helpers import SMALL, TABLES
+
     con = duckdb.connect()
     for t in TABLES:
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SMALL}/{t}.parquet'")
     return con
-
-
-def rows(df):
-    """Rows of a Spark or DuckDB result, columns by name, in a comparable order."""
-    if hasattr(df, "collect"):
-        names, data = df.columns, [tuple(r) for r in df.collect()]
-    else:
-        names, data = df.columns, df.fetchall()
-    order = sorted(range(len(names)), key=lambda i: names[i])
-    plain = lambda v: v if v is None or isinstance(v, (bool, str)) else (float(v) if isinstance(v, float) or "Decimal" in type(v).__name__ else v)
-    return sorted(names), sorted((tuple(plain(r[i]) for i in order) for r in data), key=repr)

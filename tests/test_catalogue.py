@@ -1,5 +1,5 @@
 import pytest
-from conftest import SMALL, rows
+from helpers import SMALL, rows
 
 import __spark_entry__
 from tessera.plans import catalogue

@@ -1,7 +1,7 @@
 import os
 
 import pytest
-from conftest import SMALL
+from helpers import SMALL
 from pyspark.sql import functions as F
 
 import link_records
