@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 EDGES = [
     (1, None), (2, ""), (3, ""), (4, "Same Text here\nand there"), (5, "same text HERE\nand there"), (5, "same text HERE\nand there"),
     (None, "same text here\nand there"), (None, None), (9, " \t\n "), (10, "ÀÉ straße 漢字 😀 \x00 end"), (11, "x" * 70_000), (12, "a b c d e f g h i j k l m n\n" * 40),
-    (13, "one"), (14, "call +1 (743) 555-3824 or me@x.org, 10.0.0.1 4111 1111 1111 1111"),
+    (13, "one"), (14, "call +1 (743) 555-3824 or me@x.org, 10.0.0.1, 4111 1111 1111 1111"),
 ]
 #: Names that operators use inside.
 CLASHING = ["row", "slot", "key", "pos", "rank", "fp", "node", "uid", "at", "later", "spans", "_t", "_bucket", "_candidates", "ids", "score", "shard", "h1", "_id", "body", "TEXT_"]

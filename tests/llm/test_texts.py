@@ -243,7 +243,7 @@ def test_pii_edges(edges):
     got = pii.redact(edges)
     assert got.columns == edges.columns
     out = {r["doc_id"]: r["text"] for r in got.select("doc_id", "text").collect()}
-    assert out[14] == "call [PHONE] or [EMAIL], [IP] [CARD]" and out[1] is None and out[2] == "" and out[11] == "x" * 70_000
+    assert out[14] == "call [PHONE] or [EMAIL], [IP], [CARD]" and out[1] is None and out[2] == "" and out[11] == "x" * 70_000
     assert pii.spans(edges).count() == edges.count()
     assert pii.spans(edges.limit(0)).count() == 0 and pii.redact(edges.limit(0)).count() == 0
 
