@@ -53,6 +53,15 @@ def _features(texts: list[bytes], known: np.ndarray | None = None) -> tuple[np.n
     return doc, feature, value
 
 
+def _of_sample(rows: list[tuple[bytes, int]], at_once: int = 128) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``_features`` of all texts of a sample, a few at a time to bound the memory."""
+    parts = []
+    for k in range(0, len(rows), at_once):
+        doc, feature, value = _features([t for t, _ in rows[k : k + at_once]])
+        parts.append(((doc + k).astype(np.int32), feature.astype(np.int32), value.astype(np.float32)))
+    return tuple(np.concatenate(x) for x in zip(*parts))
+
+
 def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
@@ -85,7 +94,7 @@ def severity_grades(rows: list[tuple[bytes, int]], grades: int = GRADES) -> np.n
     toxic = np.flatnonzero(labels > 0)
     if not len(toxic):
         return out
-    doc, feature, _ = _features([t for t, _ in rows])
+    doc, feature, _ = _of_sample(rows)
     ids, code = np.unique(feature, return_inverse=True)
     bad = np.bincount(code, labels[doc] > 0, len(ids))
     good = np.bincount(code, labels[doc] == 0, len(ids))
@@ -106,7 +115,7 @@ def fit(rows: list[tuple[bytes, int]], grades: np.ndarray, top: int = GRADES, ro
     cuts = np.log((n + 1 - over) / over)
     if len(set(y.tolist())) < 2:
         return Model(np.zeros(0, np.int64), np.zeros(0), cuts)
-    doc, feature, value = _features([t for t, _ in rows])
+    doc, feature, value = _of_sample(rows)
     ids, code, count = np.unique(feature, return_inverse=True, return_counts=True)
     # screening: a feature takes part if its mean in graded texts stands out from its mean in clean ones
     graded = y > 0
