@@ -84,7 +84,8 @@ def deduplicated(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = M
     """
     rows = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     later = _later_lines(rows.select("doc_id", "text"), min_lines, min_words).select(F.struct("doc_id", "key").alias("at"), "later")
-    joined = rows.withColumn("at", F.struct("doc_id", _text_key(F.col("text")).alias("key"))).join(written(later, "later_lines"), "at", "left")
+    # always a sort-merge join: the plan, and so the need of disk, is the same at every size
+    joined = rows.withColumn("at", F.struct("doc_id", _text_key(F.col("text")).alias("key"))).join(written(later, "later_lines").hint("merge"), "at", "left")
     n = F.size(F.split("text", "\n"))
     left = F.array_except(F.sequence(F.lit(0), n - 1), F.col("later"))
     lines = F.transform(F.array(F.split("text", "\n")), lambda all_lines: F.transform(left, lambda i: all_lines[i]))[0]
