@@ -123,6 +123,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, id_col:
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("node"))
     roots = components(links(nodes.where("node IS NOT NULL"), radius))
     classes = nodes.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
+    # a table of its own: both sides of the last join are plain exchanges, which a hot fingerprint may split
+    classes = written(classes, "classes")
     return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
