@@ -713,7 +713,7 @@ def length_bin_stats(spark, sf_dir):
     with_(
         RECORDS["parts"], TRUTH["parts"],
         "n AS (SELECT TRY_CAST(regexp_replace(s1, '^S[0-9]-', '') AS BIGINT) AS a, TRY_CAST(regexp_replace(cand, '^S[0-9]-', '') AS BIGINT) AS b FROM truth), d AS (SELECT *, abs(a - b) AS d FROM n)",
-        select="SELECT count(*) AS pairs, round(corr(a, b), 6) AS correlation, round(avg(d), 6) AS mean_distance, round(avg(d / greatest(a, 1)), 6) AS mean_ratio, round(stddev_samp(d), 6) AS sd_distance, "
+        select="SELECT count(*) AS pairs, CASE WHEN isnan(corr(a, b)) THEN NULL ELSE round(corr(a, b), 6) END AS correlation, round(avg(d), 6) AS mean_distance, round(avg(d / greatest(a, 1)), 6) AS mean_ratio, round(stddev_samp(d), 6) AS sd_distance, "
         + ", ".join(f"round(quantile_cont(d, {s}), 6) AS q{int(s * 100):02d}" for s in (0.01, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.99)) + " FROM d",
     )
 )
