@@ -124,11 +124,12 @@ def _bucket(bounds: list[int], parts: int) -> Column:
     return F.coalesce(search(0, len(bounds) - 1), F.lit(0).cast("long")) if len(bounds) > 1 else F.lit(0).cast("long")
 
 
-def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """``docs`` plus ``next_<c>``: the columns of the next row by doc_id, after the last those of the first.
+def with_next(docs: DataFrame, columns: list[str], derived: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """``derived(docs)`` plus ``next_<c>``: the columns of the next row by doc_id, after the last those of the first.
 
     Rows are dealt to buckets of consecutive identifiers; the first row of a
-    bucket also stands at the end of the bucket before it.  Null identifiers
+    bucket also stands at the end of the bucket before it.  ``derived`` adds
+    columns once those few are chosen, before rows are dealt.  Null identifiers
     come first, and equal ones in order of a hash of their columns.
     """
     n = docs.count()
@@ -143,14 +144,21 @@ def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
     ahead = heads.select("_head", F.coalesce(F.lag("_bucket").over(by_bucket), F.max("_bucket").over(Window.partitionBy())).alias("_before"))
     again = dealt.join(F.broadcast(ahead), F.col("doc_id") == F.col("_head")).withColumn("_bucket", F.col("_before")).withColumn("_again", F.lit(True)).select(*dealt.columns)
     order = Window.partitionBy("_bucket").orderBy("_again", F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
-    both = dealt.unionByName(again)
+    both = derived(dealt.unionByName(again))
     return both.withColumns({f"next_{c}": F.lead(c).over(order) for c in columns}).where(~F.col("_again")).drop("_bucket", "_again")
 
 
+def _printed(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("fp", fingerprint(F.col("text")))
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text, fp) per input row; a null text is empty.  Other columns are ignored."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    return rows.withColumn("fp", fingerprint(F.col("text")))
+    return _printed(_texts(docs, id_col, text_col))
 
 
 def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -160,7 +168,7 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     the next document.  Empty texts stay empty; a lone document follows
     itself; an empty table gives an empty result.
     """
-    beside = with_next(fingerprints(docs, id_col, text_col), ["text", "fp"])
+    beside = with_next(_texts(docs, id_col, text_col), ["text", "fp"], _printed)
     n, quarter = F.length("text"), F.floor(F.length("text") / 4).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - quarter), F.substring(F.coalesce("next_text", F.lit("")), F.lit(1), quarter))
     return beside.withColumn("edited", edited).withColumn("edited_fp", fingerprint(F.col("edited"))).drop("next_text")
