@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import line_dedup, packing, pii, quality, shared, simhash
+from tessera.llm import line_dedup, near_copies, packing, pii, quality, shared
 
 
 def _counted(docs: DataFrame) -> DataFrame:
@@ -30,8 +30,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 4: of each class of near copies the document with the smallest identifier stays."""
-    return simhash.keep_one(docs)
+    """Operator 4: of each class of near copies (5-word Jaccard likeness 0.8 or more) the document with the smallest identifier stays."""
+    return near_copies.keep_one(docs)
 
 
 def redact_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
