@@ -16,7 +16,7 @@ from tessera.plans.oracle import CANON, CASCADE_KEYS, EXPERIMENT_KEYS, F_HALF, I
 from tessera.sources import lists
 from tessera.sources.adapters import ADAPTERS, table, true_pairs
 
-#: Key frequency caps that bind on the example tables (the library's default is 500).
+#: Key frequency cap of the queries with SQL, which binds on the example tables; queries without SQL keep to the default, 500.
 CAP = 30
 #: Largest blocking score, to turn scores into 0 to 1.
 FULL = 24.0
@@ -178,12 +178,12 @@ _PRODUCTION = (RECORDS["parts"], NORM, KEYS, oracle.scored(CAP), oracle.top(30))
 _CASCADE = (RECORDS["parts"], CANON, CASCADE_KEYS, oracle.scored(CAP, "nsig:"), oracle.top(50))
 
 
-def _cands(spark, sf_dir):
-    return blocking.candidates(_keyed(spark, sf_dir), CAP, 30)
+def _cands(spark, sf_dir, cap=CAP):
+    return blocking.candidates(_keyed(spark, sf_dir), cap, 30)
 
 
-def _cascade_cands(spark, sf_dir):
-    return blocking.candidates(_cascade_keyed(spark, sf_dir), CAP, 50, never="nsig:")
+def _cascade_cands(spark, sf_dir, cap=CAP):
+    return blocking.candidates(_cascade_keyed(spark, sf_dir), cap, 50, never="nsig:")
 
 
 @query(with_(*_PRODUCTION, select=_PAIR_SELECT))
@@ -356,18 +356,18 @@ def feat_fuzzy_ratios(spark, sf_dir):
 
 @query()
 def feature_vector_34(spark, sf_dir):
-    norm, cands = linkage.production_candidates(_records(spark, sf_dir), CAP)
+    norm, cands = linkage.production_candidates(_records(spark, sf_dir))
     return features.production(cands, norm)
 
 
 @query()
 def feature_vector_15(spark, sf_dir):
-    return features.cascade(_cascade_cands(spark, sf_dir), _canon(spark, sf_dir))
+    return features.cascade(_cascade_cands(spark, sf_dir, blocking.KEY_CAP), _canon(spark, sf_dir))
 
 
 @query()
 def feature_vector_13(spark, sf_dir):
-    return features.experiment(_cands(spark, sf_dir), _norm(spark, sf_dir))
+    return features.experiment(_cands(spark, sf_dir, blocking.KEY_CAP), _norm(spark, sf_dir))
 
 
 # --- decisions ------------------------------------------------------------------------------------------------------
@@ -422,12 +422,12 @@ def tier1(spark, sf_dir):
 
 @query()
 def cascade_tiers(spark, sf_dir):
-    return decide.tiers(_cascade_cands(spark, sf_dir), _canon(spark, sf_dir))
+    return decide.tiers(_cascade_cands(spark, sf_dir, blocking.KEY_CAP), _canon(spark, sf_dir))
 
 
 @query()
 def cascade_matches(spark, sf_dir):
-    matches, _ = linkage.infer_cascade(_records(spark, sf_dir), cap=CAP)
+    matches, _ = linkage.infer_cascade(_records(spark, sf_dir))
     return matches.select("s1", "cand", "p")
 
 
@@ -749,15 +749,15 @@ def source_counts(spark, sf_dir):
 @query()
 def model_scores(spark, sf_dir):
     records = _records(spark, sf_dir)
-    fitted = linkage.train(records, true_pairs(records, "parts"), cap=CAP)
-    matches, _ = linkage.infer(records, fitted, threshold=0.5, cap=CAP)
+    fitted = linkage.train(records, true_pairs(records, "parts"))
+    matches, _ = linkage.infer(records, fitted, threshold=0.5)
     return matches
 
 
 @query()
 def blended_scores(spark, sf_dir):
     records = _records(spark, sf_dir)
-    rows = linkage.training_pairs(records, true_pairs(records, "parts"), cap=CAP).persist()
+    rows = linkage.training_pairs(records, true_pairs(records, "parts")).persist()
     trees, forest = model.fit_trees(rows, features.PRODUCTION), model.fit_forest(rows, features.PRODUCTION)
     both = model.scores(forest, model.scores(trees, rows, "p_trees"), "p_forest")
     return model.blend(both, "p_trees", "p_forest").select("s1", "cand", "label", "p_trees", "p_forest", "p")
