@@ -181,3 +181,37 @@ def test_line_edges(edges):
     assert dict(out)[12].count("\n") == 1  # the first line and the empty last one stay
     assert [t for i, t in out if i == 5] == ["same text HERE\nand there"] * 2
     assert line_dedup.deduplicated(edges.limit(0)).count() == 0
+
+
+def test_a_long_run_is_one_interval(spark):
+    run = [f"line {i}" for i in range(50)]
+    docs = {1: ["a"] + run + ["b"], 2: ["c"] + run[:20] + ["d"], 3: run + ["e", "f", "a"], 4: ["g"] + run[30:] + ["h"]}
+    df = spark.createDataFrame([(i, "\n".join(x)) for i, x in docs.items()], "doc_id long, text string")
+    got = sorted(r[:] for r in line_dedup.repeated_runs(df).collect())
+    assert got == [(2, 1, 20, 1, 1), (3, 0, 50, 1, 1), (4, 1, 20, 1, 31)]
+
+
+def test_ranks_are_in_order_of_the_suffixes(spark):
+    rng = random.Random(5)
+    docs = {i: [rng.choice("abc") for _ in range(rng.randint(1, 20))] for i in range(8)}
+    df = spark.createDataFrame([(i, "\n".join(x)) for i, x in docs.items()], "doc_id long, text string")
+    letters = {r["line"]: (r["h1"], r["h2"]) for r in spark.createDataFrame([(c,) for c in "abc"], "line string").select("line", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2")).collect()}
+    single = line_dedup._ranked(line_dedup._lines(df, 0).drop("long"), ["h1", "h2"], "ranks_1")
+    depths = []
+    for depth, ranks in line_dedup.suffix_ranks(single, 2):
+        depths.append(depth)
+        run = lambda p: [letters[c] for c in docs[p["doc_id"]][p["line_no"] : p["line_no"] + depth]]
+        found = sorted((r["rank"], run(r["pos"])) for r in ranks.collect())
+        repeated = Counter(tuple(docs[i][k : k + depth]) for i in docs for k in range(len(docs[i]) - depth + 1))
+        assert len(found) == sum(n for n in repeated.values() if n > 1)
+        assert all((a[0] < b[0]) == (a[1] < b[1]) and (a[0] == b[0]) == (a[1] == b[1]) for a, b in zip(found, found[1:]))
+    assert depths[:2] == [2, 4]
+
+
+def test_repeated_rows_stay_one_text(spark):
+    text = "\n".join(f"line number {i}" for i in range(20))
+    df = spark.createDataFrame([(1, text)] + [(2, text)] * 200, "doc_id long, text string").repartition(5)
+    single = line_dedup._ranked(line_dedup._lines(df, 10), ["h1", "h2"], "ranks_1")
+    assert single.count() == 40
+    got = line_dedup.line_dedup(df).collect()
+    assert len(got) == 201 and [r["text"] for r in got if r["doc_id"] == 2] == [""] * 200 and [r["text"] for r in got if r["doc_id"] == 1] == [text]
