@@ -39,6 +39,8 @@ EXTRA = {
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "mail": rf"(?<!{_LOCAL}){_LOCAL}{{1,64}} ?(?:\[at\]|\(at\)| at ) ?[A-Za-z0-9-]{{1,63}}(?: ?(?:\[dot\]|\(dot\)| dot ) ?[A-Za-z0-9-]{{1,63}}){{1,5}}",
 }
+#: What any match of EXTRA contains: an assignment (secret), a digit (tel, ssn, iban), or a spelled-out dot (mail).
+EXTRA_NEEDS = r"[=:0-9]|\[dot\]|\(dot\)| dot "
 KINDS = [*BASE, *EXTRA]
 VOTES = ["v_format", "v_gazetteer", "v_context", "v_variety"]
 #: Words before a span that speak for its kind.
@@ -127,7 +129,7 @@ def _with_found(docs: DataFrame) -> DataFrame:
         base.append(_ranked(F.col(col), kind, rank))
     docs = docs.withColumn("_base", F.concat(*base))
     pattern = "|".join(f"(?:{p})" for p in EXTRA.values())
-    docs = docs.withColumn("_loose", _located(F.col("_t"), pattern, F.col("_t").rlike(r"[0-9\[(]|\bdot\b")))
+    docs = docs.withColumn("_loose", _located(F.col("_t"), pattern, F.col("_t").rlike(EXTRA_NEEDS)))
 
     def named(x: Column) -> Column:
         rank = F.lit(None).cast("int")
@@ -156,7 +158,7 @@ def _judged(text: Column, x: Column, base: bool) -> Column:
     return F.struct(
         x["start"].alias("start"), x["stop"].alias("stop"), x["rank"].alias("rank"), F.lit(base).alias("base"),
         F.when(sound, 1).otherwise(-1).alias("v_format"), gazetteer.alias("v_gazetteer"), F.when(apart & ended, 1).otherwise(-1).alias("v_context"),
-        F.when(variety >= 5, 1).when(variety <= 2, -1).otherwise(0).alias("v_variety"),
+        F.when(variety >= 5, 1).when(variety <= 3, -1).otherwise(0).alias("v_variety"),
         F.least(F.lit(4), F.floor(F.length(x["hit"]) / 8).cast("int")).alias("size"),
     )
 
@@ -232,21 +234,38 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return found.select("doc_id", _kept(fit(found)).alias("spans"))
 
 
+def merged(spans: Column) -> Column:
+    """Sorted (start, rank, stop, base) as (start, rank, stop) without overlaps: spans that share a character are one, of the first one's kind."""
+
+    def step(acc: Column, s: Column) -> Column:
+        apart = s["start"] >= acc["stop"]
+        done = F.when(apart & (acc["rank"] >= 0), F.concat(acc["out"], F.array(F.struct(acc["start"], acc["rank"], acc["stop"])))).otherwise(acc["out"])
+        return F.struct(
+            F.when(apart, s["start"]).otherwise(acc["start"]).alias("start"), F.when(apart, s["rank"]).otherwise(acc["rank"]).alias("rank"),
+            F.greatest(acc["stop"], s["stop"]).alias("stop"), done.alias("out"),
+        )
+
+    zero = F.lit(0).cast("long")
+    start = F.struct(zero.alias("start"), F.lit(-1).alias("rank"), zero.alias("stop"), F.expr("cast(array() as array<struct<start:bigint,rank:int,stop:bigint>>)").alias("out"))
+    return F.aggregate(spans, start, step, lambda acc: F.when(acc["rank"] < 0, acc["out"]).otherwise(F.concat(acc["out"], F.array(F.struct(acc["start"], acc["rank"], acc["stop"])))))
+
+
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with every span replaced by its kind in brackets; a null text stays null.
 
-    Where spans overlap, the one that starts first is replaced.
+    Overlapping spans are replaced together, by the kind of the one that
+    starts first: nothing of any span stays.  Rows and their candidates are
+    written once, for fitting and for replacing.
     """
-    found = candidates(docs.select(F.struct("*").alias("row"), text_or_empty(text_col).alias("text")))
-    model = fit(found)
+    found = written(candidates(docs.select(F.struct("*").alias("row"), text_or_empty(text_col).alias("text"))).drop("text"), "pii_rows")
+    kinds, text = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS]), F.col(f"row.{text_col}").cast("string")
 
     def step(acc: Column, s: Column) -> Column:
-        kind = F.element_at(F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS]), s["rank"] + 1)
-        gap = F.substring(F.col("text"), (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
-        return F.when(s["start"] < acc["at"], acc).otherwise(F.struct(s["stop"].alias("at"), F.concat(acc["out"], F.array(gap, kind)).alias("out")))
+        gap = F.substring(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
+        return F.struct(s["stop"].alias("at"), F.concat(acc["out"], F.array(gap, F.element_at(kinds, s["rank"] + 1))).alias("out"))
 
     start = F.struct(F.lit(0).cast("long").alias("at"), F.expr("cast(array() as array<string>)").alias("out"))
-    done = found.withColumn("spans", _kept(model)).withColumn("cut", F.when(F.size("spans") > 0, F.aggregate("spans", start, step)))
-    rest = F.substring(F.col("text"), (F.col("cut.at") + 1).cast("int"), F.length("text"))
-    clean = F.when(F.col("cut").isNotNull(), F.concat(F.array_join("cut.out", ""), rest)).otherwise(F.col(f"row.{text_col}"))
+    done = found.withColumn("_spans", merged(_kept(fit(found)))).withColumn("_cut", F.when(F.size("_spans") > 0, F.aggregate("_spans", start, step)))
+    rest = F.substring(text, (F.col("_cut.at") + 1).cast("int"), F.length(text))
+    clean = F.when(F.col("_cut").isNotNull(), F.concat(F.array_join("_cut.out", ""), rest)).otherwise(F.col(f"row.{text_col}"))
     return done.select(F.col("row").withField(text_col, clean).alias("row")).select("row.*")

@@ -239,6 +239,33 @@ def test_classifier_adds_secrets_and_drops_noise(spark):
     assert all(got[100 + i] == [] for i in range(5))
 
 
+def test_finds_need_nothing_outside_themselves(spark):
+    bare = ["password=hunterabcdefgh1 and more", "write to jane dot x at mail dot org now", "ring 743-555-3824 now", "jane (at) mail (dot) org", "jane[at]mail[dot]org"]
+    import itertools
+
+    pattern = "|".join(f"(?:{p})" for p in pii.EXTRA.values())
+    df = spark.createDataFrame([(i, a + tail) for i, (a, tail) in enumerate(itertools.product(bare + ["password=hunterabcdefgh and more"], ["", " 7", " [x] (y)"]))], "doc_id long, t string")
+    got = df.select("doc_id", F.expr("t rlike r'" + pattern.replace("'", "\\x27") + "'").alias("any"), F.col("t").rlike(pii.EXTRA_NEEDS).alias("asked")).collect()
+    assert all(r["any"] <= r["asked"] for r in got) and sum(r["any"] for r in got) >= 15
+    found = pii.candidates(df.withColumnRenamed("t", "text")).select("doc_id", F.size("_candidates").alias("n")).collect()
+    assert len({(r["doc_id"] // 3, r["n"]) for r in found}) == 6
+
+
+def test_overlapping_spans_go_together(spark):
+    rows = [(1, "4111 1111 1111 111 1.2.3.4"), (2, "3456 7890 1234 567.john@x.com end"), (3, "a@b.co,1.2.3.4"), (4, "+1 743 555 3824 a@b.co +1 743 555 3824")]
+    got = {r["doc_id"]: r["text"] for r in pii.redact(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, text in rows:
+        kept = slow_base(text)
+        want, at = "", 0
+        while kept:
+            start, rank, stop = kept.pop(0)
+            while kept and kept[0][0] < stop:
+                stop = max(stop, kept.pop(0)[2])
+            want, at = want + text[at:start] + f"[{pii.KINDS[rank].upper()}]", stop
+        assert got[i] == want + text[at:]
+    assert got[1] == "[CARD]"
+
+
 def test_pii_edges(edges):
     got = pii.redact(edges)
     assert got.columns == edges.columns
