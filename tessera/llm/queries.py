@@ -35,6 +35,8 @@ def op2_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
         syncmers.as_string(F.col("edited_fp")).alias("edited_fingerprint"),
         syncmers.likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"),
         syncmers.likeness(F.col("fp"), F.col("next_fp")).alias("near_next"),
+        syncmers.alignment(F.col("fp"), F.col("edited_fp")).alias("aligned_edited"),
+        syncmers.alignment(F.col("fp"), F.col("next_fp")).alias("aligned_next"),
     )
 
 

@@ -1,11 +1,14 @@
 """Document fingerprints from closed syncmers, in DataFrame functions only.
 
-A text is a sequence of units: its words, and for shorter texts its
-characters too.  A k-mer of units is a closed syncmer if the least hash among
-its inner s-mers (two units here) lies at its first or last place; that
+Every text is a sequence of units: its words, and where a word is longer than
+``LONGEST`` characters (scripts without spaces, encoded data), its single
+characters.  A k-mer of K units is a closed syncmer if the least hash among
+its inner s-mers (single units here) lies at its first or last place; that
 depends on the k-mer alone, so equal passages give equal anchors wherever they
-stand.  A fingerprint keeps the smallest anchor hashes of each level (bottom
-sketches); likeness is the share of common hashes in the sketch of the union.
+stand, and any two texts can be compared.  A fingerprint keeps the smallest
+anchor hashes (a bottom sketch) with their positions: likeness is the share of
+common hashes in the sketch of the union, and the positions tell how far the
+common anchors lie on one diagonal.
 
 In expressions, ``_bind`` names a value that several lambdas use, so that it
 is computed once for a text and not once for an element.
@@ -14,27 +17,17 @@ is computed once for a text and not once for an element.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.shared import text_or_empty
 
-
-@dataclass(frozen=True)
-class Level:
-    """k-mers of ``window`` + 1 units, for texts of ``least`` to below ``most`` characters."""
-
-    name: str
-    cut: str
-    window: int  # s-mers in a k-mer, a power of two
-    least: int
-    most: int
-
-
-#: In order of preference; a text and one that is shorter by a quarter always share a level.
-LEVELS = (Level("w", r"[ \t\n\x0B\f\r]+", 4, 1024, 1 << 62), Level("s", "", 2, 0, 64), Level("c", "", 8, 0, 2048))
+#: Units in a k-mer, and characters of the longest word that is one unit.
+K, LONGEST = 3, 24
+_SPACE = r" \t\n\x0B\f\r"
+#: A word (or the end of a longer one), or a single character of a longer word.
+UNIT = rf"[^{_SPACE}]{{1,{LONGEST}}}+(?![^{_SPACE}])|[^{_SPACE}]"
 #: Hashes in a sketch.
 SKETCH = 64
 #: Rows of a neighbour bucket, and buckets, at most (larger buckets spill).
@@ -51,62 +44,66 @@ def _beside(a: Column, away: int, f: Callable[[Column, Column], Column]) -> Colu
     return F.zip_with(F.slice(a, F.lit(1), n), F.slice(a, F.lit(away + 1), n), f)
 
 
-def _least(m: Column, window: int) -> Column:
-    width = 1
-    while width < window:
-        m = _beside(m, width, lambda a, b: F.least(a, b))
-        width *= 2
-    return m
-
-
-def anchors(text: Column, level: Level) -> Column:
-    """array<struct<pos, hash>>: the closed syncmers of a text by position.
+def anchors(text: Column) -> Column:
+    """array<struct<pos, hash>>: the closed syncmers of a text by position (in units).
 
     Fewer units than a k-mer make one anchor of them all; no units make none.
     """
-    w = level.window
-    units = F.filter(F.split(text, level.cut), lambda u: u != "")
+    units = F.regexp_extract_all(text, F.lit(UNIT), F.lit(0))
 
-    def chosen(m: Column) -> Column:
-        at = lambda least: F.transform(least, lambda x, i: F.when((x == m[i]) | (x == m[i + (w - 1)]), i))
-        # the s-mers of the even places and the last one hold every unit of the k-mer
-        whole = lambda i: F.xxhash64(*[m[i + j] for j in range(0, w, 2)], m[i + (w - 1)])
-        return F.transform(F.array_compact(_bind(_least(m, w), at)), lambda i: F.struct(i.alias("pos"), whole(i).alias("hash")))
+    def at(h: Column) -> Column:
+        """Places of the k-mers whose least unit hash is the first or the last one."""
+        inner = _beside(h, 1, lambda a, b: F.least(a, b))
+        least = _beside(inner, K - 2, lambda a, b: F.least(a, b))
+        return F.array_compact(F.transform(least, lambda x, i: F.when((x == h[i]) | (x == h[i + (K - 1)]), i)))
 
     def of(h: Column) -> Column:
         all_of_it = F.aggregate(h, F.lit(0).cast("long"), lambda a, x: F.xxhash64(a, x))
         short = F.array(F.struct(F.lit(0).alias("pos"), all_of_it.alias("hash")))
         none = F.expr("cast(array() as array<struct<pos:int,hash:bigint>>)")
-        return F.when(F.size(h) == 0, none).when(F.size(h) <= w, short).otherwise(_bind(_beside(h, 1, lambda a, b: F.xxhash64(a, b)), chosen))
+        whole = lambda i: F.struct(i.alias("pos"), F.xxhash64(*[h[i + j] for j in range(K)]).alias("hash"))
+        return F.when(F.size(h) == 0, none).when(F.size(h) < K, short).otherwise(F.transform(at(h), whole))
 
     return _bind(F.transform(units, lambda u: F.xxhash64(u)), of)
 
 
 def fingerprint(text: Column) -> Column:
-    """struct with a sorted array of up to ``SKETCH`` hashes for each level that the text has, else null."""
-    n = F.length(text)
-    sketch = lambda level: F.slice(F.sort_array(F.array_distinct(F.transform(anchors(text, level), lambda a: a["hash"]))), 1, SKETCH)
-    return F.struct(*[F.when((n >= v.least) & (n < v.most), sketch(v)).alias(v.name) for v in LEVELS])
+    """struct<hash, pos>: up to ``SKETCH`` least distinct anchor hashes, sorted, and the first position of each."""
+
+    def sketch(found: Column) -> Column:
+        least = F.slice(F.sort_array(F.array_distinct(F.transform(found, lambda a: a["hash"]))), 1, SKETCH)
+        hashes = F.transform(found, lambda a: a["hash"])
+        return _bind(hashes, lambda all_of_them: _bind(least, lambda h: F.struct(h.alias("hash"), F.transform(h, lambda x: found[(F.array_position(all_of_them, x) - 1).cast("int")]["pos"]).alias("pos"))))
+
+    return _bind(anchors(text), sketch)
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Share of common hashes in the union's sketch, by the first level that both have (0 without one).
+    """Share of common hashes in the union's sketch.
 
     Two texts without units are alike (1); one without and one with are not (0).
     """
+    x, y = a["hash"], b["hash"]
+    union = F.slice(F.sort_array(F.array_union(x, y)), 1, SKETCH)
+    return _bind(union, lambda u: F.when(F.size(u) == 0, 1.0).otherwise(F.size(F.array_intersect(F.array_intersect(u, x), y)) / F.size(u)))
+
+
+def alignment(a: Column, b: Column) -> Column:
+    """Share of the common anchors that lie on the commonest diagonal (equal distance of positions); 0 without common ones."""
+    place = lambda fp, h: fp["pos"][(F.array_position(fp["hash"], h) - 1).cast("int")]
+    away = F.transform(F.array_intersect(a["hash"], b["hash"]), lambda h: place(b, h) - place(a, h))
 
-    def by(level: Level) -> Column:
-        x, y = a[level.name], b[level.name]
-        union = F.slice(F.sort_array(F.array_union(x, y)), 1, SKETCH)
-        return _bind(union, lambda u: F.when(F.size(u) == 0, 1.0).otherwise(F.size(F.array_intersect(F.array_intersect(u, x), y)) / F.size(u)))
+    def most(d: Column) -> Column:
+        count = F.aggregate(F.array_distinct(d), F.lit(0), lambda top, x: F.greatest(top, F.size(F.filter(d, lambda y: y == x))))
+        return F.when(F.size(d) == 0, 0.0).otherwise(count / F.size(d))
 
-    return F.coalesce(*[F.when(a[v.name].isNotNull() & b[v.name].isNotNull(), by(v)) for v in LEVELS], F.lit(0.0))
+    return _bind(away, most)
 
 
 def as_string(fp: Column) -> Column:
-    """A fingerprint in hexadecimal, level by level."""
-    hexes = lambda x: F.array_join(F.transform(x, lambda h: F.lpad(F.lower(F.hex(h)), 16, "0")), "")
-    return F.concat_ws("|", *[F.when(fp[v.name].isNotNull(), F.concat(F.lit(v.name + ":"), hexes(fp[v.name]))) for v in LEVELS])
+    """A fingerprint in hexadecimal: its hashes (16 digits each), and after a colon their positions (8 each)."""
+    hexes = lambda x, n: F.array_join(F.transform(x, lambda h: F.lpad(F.lower(F.hex(h)), n, "0")), "")
+    return F.concat(hexes(fp["hash"], 16), F.lit(":"), hexes(fp["pos"], 8))
 
 
 def _bucket(bounds: list[int], parts: int) -> Column:

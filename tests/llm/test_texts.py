@@ -132,48 +132,82 @@ def chained(values):
     return signed(seed)
 
 
-def slow_anchors(text, level):
-    units = [u for u in (re.split(r"[ \t\n\x0b\f\r]+", text) if level.cut else list(text)) if u]
-    h, w = [signed(xxhash.xxh64_intdigest(u.encode(), seed=42)) for u in units], level.window
+def slow_units(text):
+    out = []
+    for word in re.split(r"[ \t\n\x0b\f\r]+", text):
+        cut = max(0, len(word) - syncmers.LONGEST)
+        out += [*word[:cut], word[cut:]]
+    return [u for u in out if u]
+
+
+def slow_anchors(text):
+    h, k = [signed(xxhash.xxh64_intdigest(u.encode(), seed=42)) for u in slow_units(text)], syncmers.K
     if not h:
         return []
-    if len(h) <= w:
+    if len(h) < k:
         out = 0
         for x in h:
             out = chained([out, x])
         return [(0, out)]
-    m = [chained(p) for p in zip(h, h[1:])]
-    return [(i, chained([m[i + j] for j in range(0, w, 2)] + [m[i + w - 1]])) for i in range(len(m) - w + 1) if min(m[i : i + w]) in (m[i], m[i + w - 1])]
+    return [(i, chained(h[i : i + k])) for i in range(len(h) - k + 1) if min(h[i : i + k]) in (h[i], h[i + k - 1])]
 
 
 def slow_print(text):
-    parts = []
-    for level in syncmers.LEVELS:
-        if level.least <= len(text) < level.most:
-            sketch = sorted({h for _, h in slow_anchors(text, level)})[: syncmers.SKETCH]
-            parts.append(level.name + ":" + "".join(format(h % (1 << 64), "016x") for h in sketch))
-    return "|".join(parts)
+    first = {}
+    for pos, h in slow_anchors(text):
+        first.setdefault(h, pos)
+    sketch = sorted(first)[: syncmers.SKETCH]
+    return sketch, [first[h] for h in sketch]
 
 
-def test_op2_against_brute_force(spark, texts, monkeypatch):
-    monkeypatch.setattr(syncmers, "BUCKET_ROWS", 20)
-    got = {r["doc_id"]: r for r in queries.op2_syncmers(spark, SMALL).collect()}
+def slow_likeness(a, b):
+    union = sorted({*a[0], *b[0]})[: syncmers.SKETCH]
+    return len([h for h in union if h in a[0] and h in b[0]]) / len(union) if union else 1.0
+
+
+def slow_alignment(a, b):
+    away = [b[1][b[0].index(h)] - p for h, p in zip(*a) if h in b[0]]
+    return max(map(away.count, away)) / len(away) if away else 0.0
+
+
+def check_op2(got, texts):
     ids = sorted(texts)
     assert sorted(got) == ids
+    text_of = lambda fp: "".join(format(h % (1 << 64), "016x") for h in fp[0]) + ":" + "".join(format(p, "08x") for p in fp[1])
     for k, i in enumerate(ids):
         text, following = texts[i], texts[ids[(k + 1) % len(ids)]]
         q = len(text) // 4
         edited = text[: len(text) - q] + following[:q]
         assert got[i]["n_chars"] == len(text) and got[i]["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
-        assert got[i]["fingerprint"] == slow_print(text) and got[i]["edited_fingerprint"] == slow_print(edited)
+        own, other, beside = slow_print(text), slow_print(edited), slow_print(following)
+        assert got[i]["fingerprint"] == text_of(own) and got[i]["edited_fingerprint"] == text_of(other)
+        assert got[i]["near_edited"] == slow_likeness(own, other) and got[i]["near_next"] == slow_likeness(own, beside)
+        assert got[i]["aligned_edited"] == slow_alignment(own, other) and got[i]["aligned_next"] == slow_alignment(own, beside)
+
+
+def test_op2_against_brute_force(spark, texts, monkeypatch):
+    monkeypatch.setattr(syncmers, "BUCKET_ROWS", 20)
+    got = {r["doc_id"]: r for r in queries.op2_syncmers(spark, SMALL).collect()}
+    check_op2(got, texts)
     assert np.median([r["near_edited"] for r in got.values()]) > 0.5 > 0.1 > np.median([r["near_next"] for r in got.values()])
 
 
+def test_any_two_texts_can_be_compared(spark, tmp_path):
+    rng = random.Random(2)
+    prose = " ".join("".join(rng.choices("abcdefgh", k=rng.randint(2, 9))) for _ in range(140))
+    unspaced, ideograms = "".join(rng.choices("abcdefghijklmnop/+", k=3000)), "".join(chr(0x4E00 + rng.randrange(900)) for _ in range(5000))
+    texts = {1: prose, 2: " ".join([prose] * 3), 3: unspaced, 4: "x " + unspaced + " y", 5: ideograms, 6: "", 7: "one two", 8: ideograms[100:], 9: "a" * 25 + " " + "b" * 24}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r for r in queries.op2_syncmers(spark, str(tmp_path)).collect()}
+    check_op2(got, texts)
+    assert got[1]["near_next"] > 0.9 and got[3]["near_next"] > 0.9 and got[3]["near_edited"] > 0.4 and got[5]["near_edited"] > 0.4
+    assert got[1]["aligned_next"] == 1 and got[3]["aligned_next"] == 1
+
+
 def test_anchor_positions(spark):
-    text = " ".join(random.Random(1).choice(["ab", "c", "def"]) for _ in range(60))
-    for level in syncmers.LEVELS:
-        got = spark.createDataFrame([(text,)], "t string").select(syncmers.anchors(F.col("t"), level).alias("a")).first()["a"]
-        assert [tuple(x) for x in got] == slow_anchors(text, level)
+    text = " ".join(random.Random(1).choice(["ab", "c", "def", "g" * 30]) for _ in range(60))
+    got = spark.createDataFrame([(text,)], "t string").select(syncmers.anchors(F.col("t")).alias("a")).first()["a"]
+    assert [tuple(x) for x in got] == slow_anchors(text)
 
 
 def test_syncmer_edges(spark, edges):
