@@ -1,8 +1,9 @@
 """Connected components by alternating large-star and small-star rounds.
 
 All work is on edge tables: a round is two grouped minima and two joins, its
-result a written table.  Nothing but a count and a checksum reaches the
-driver.
+result a written table.  Minima are tables of their own, so both sides of a
+join are plain exchanges and the edges of a hub may be split over tasks.
+Nothing but a count and a checksum reaches the driver.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import written
+from tessera.llm.shared import discard, written
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -30,12 +31,13 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         if not state[0]:
             break
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        near = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+        large = both.join(near, "u").where("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = written(large.distinct(), "large_star")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = written(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         rest = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = written(low.select("u", F.col("m").alias("v")).unionByName(rest).distinct(), "small_star")
+        was, now = now, written(low.select("u", F.col("m").alias("v")).unionByName(rest).distinct(), "small_star")
+        discard(was, near, large, low)
         before, state = state, _state(now)
         if state == before:
             break

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Labelled rows that a model is fitted on at most, and the longest text among them.
-SAMPLE_ROWS = 3000
-SAMPLE_CHARS = 65_536
+#: Labelled rows that a model is fitted on at most, and the bytes of their texts at most: longer texts mean fewer rows.
+SAMPLE_ROWS, SAMPLE_BYTES = 3000, 32 << 20
 
 
 def held_out(id_col: str = "doc_id", folds: int = 5) -> Column:
@@ -15,17 +14,21 @@ def held_out(id_col: str = "doc_id", folds: int = 5) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % folds == 0, F.lit(False))
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> list[tuple[bytes, int]]:
+def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int = SAMPLE_ROWS, most: int = SAMPLE_BYTES) -> list[tuple[bytes, int]]:
     """Up to ``rows`` (text, label) pairs that are not held out, in order of a hash of the identifier.
 
     Rows without identifier, text or label are left out; an identifier with
-    several labels takes the smallest.  Only texts of up to ``chars``
-    characters are learnt from.
+    several labels takes the smallest.  Texts are whole; where those of the
+    chosen rows are more than ``most`` bytes together, the last rows that do
+    not fit go.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).where(F.col("doc_id").isNotNull() & F.col("label").isNotNull() & ~held_out())
     known = known.groupBy("doc_id").agg(F.min("label").alias("label"))
     order = F.xxhash64("doc_id")
     chosen = known.orderBy(order, "doc_id").limit(rows)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.length("text") <= chars)
-    found = texts.join(F.broadcast(chosen), "doc_id").orderBy(order, "doc_id", F.xxhash64("text")).limit(rows).select("text", "label").collect()
-    return [(r["text"].encode(), r["label"]) for r in found]
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
+    found = texts.join(F.broadcast(chosen), "doc_id").withColumn("n", F.octet_length("text"))
+    first = found.orderBy(order, "doc_id", F.xxhash64("text")).limit(rows)
+    upto = F.sum("n").over(Window.orderBy(order, "doc_id", F.xxhash64("text")).rowsBetween(Window.unboundedPreceding, 0))  # of ``rows`` rows at most
+    kept = first.withColumn("upto", upto).where(F.col("upto") <= most).orderBy("upto", "doc_id").select("text", "label").collect()
+    return [(r["text"].encode(), r["label"]) for r in kept]

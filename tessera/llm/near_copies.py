@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.components import components
-from tessera.llm.shared import small_batches, text_or_empty, written
+from tessera.llm.shared import discard, small_batches, text_or_empty, written
 
 SHINGLE = 5
 #: A text in so many is sampled; shingles of so many sampled texts come last, the most frequent ones if they are more.
@@ -93,14 +93,18 @@ def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     wanted = written(texts.join(asked, "node", "left_semi").dropDuplicates(["node"]), "candidate_texts")
     side = lambda n, t: wanted.select(F.col("node").alias(n), F.col("text").alias(t))
     rows = pairs.join(side("u", "x"), "u").join(side("v", "y"), "v").select("u", "v", "x", "y")
-    return written(rows.mapInArrow(_confirmed, "u long, v long"), "confirmed")
+    out = written(rows.mapInArrow(_confirmed, "u long, v long"), "confirmed")
+    discard(pairs, wanted)
+    return out
 
 
 def links(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     """Edges (u, v) whose components are those of all pairs that are alike; nodes (node, n, prefix), texts (node, text)."""
     rows = written(nodes.select("node", "n", F.posexplode("prefix").alias("i", "token")), "shingle_rows")
-    company = rows.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("token")
+    # a table of its own, here and below: both sides of a join are plain exchanges, which a hot shingle may split
+    company = written(rows.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("token"), "company")
     members = written(rows.join(company, "token"), "members")
+    discard(rows, company)
     # a leader for texts of each size, with the fewest shingles of its own
     sized = members.groupBy("token", F.floor(F.log("n") / F.log(F.lit(1.25))).alias("size")).agg(F.min(F.struct("i", "node", "n")).alias("l"))
     leaders = sized.select("token", "l.*")
@@ -108,13 +112,17 @@ def links(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     first = _links(stars.select(F.col("a.node").alias("u"), F.col("b.node").alias("v")), texts)
     split = members.join(components(first), "node", "left").withColumn("root", F.coalesce("root", "node"))
     split = written(split, "members_by_class")
+    discard(members)
     classes = split.groupBy("token", "root").count().groupBy("token").agg(F.max(F.struct("count", "root")).alias("m"), F.count("*").alias("k"))
-    mixed = written(split.join(classes.where("k > 1").select("token", F.col("m.root").alias("main")), "token"), "mixed")
+    several = written(classes.where("k > 1").select("token", F.col("m.root").alias("main")), "mixed_tokens")
+    mixed = written(split.join(several, "token"), "mixed")
+    discard(split, several)
     # two members of different classes: one of them at least is outside the bucket's main class
     a, b = mixed.where("root <> main").alias("a"), mixed.alias("b")
     apart = F.expr("a.root <> b.root AND (b.root = b.main OR a.node < b.node)")
     rest = a.join(b, (F.col("a.token") == F.col("b.token")) & apart & _possible("a", "b"))
     second = _links(rest.select(F.col("a.node").alias("u"), F.col("b.node").alias("v")), texts)
+    discard(mixed)
     return first.unionByName(second)
 
 

@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows handed to Python at a time: texts can be long, so batches stay small.
-ARROW_ROWS = 256
+#: Rows and bytes handed to Python at a time: texts can be long, so batches stay small.
+ARROW_ROWS, ARROW_BYTES = 256, 32 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -26,8 +26,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound the bytes of an Arrow batch by bounding its rows."""
+    """Bound the rows and the bytes of an Arrow batch, for this session; a longer text is a batch of its own."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

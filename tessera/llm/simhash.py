@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.components import components
-from tessera.llm.shared import small_batches, written
+from tessera.llm.shared import discard, small_batches, written
 
 BITS = 64
 #: Shingles hashed and counted at a time.
@@ -97,7 +97,8 @@ def links(nodes: DataFrame, radius: int = 2) -> DataFrame:
     masks = covering_masks(radius)
     table = F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for t, m in enumerate(masks)])).alias("b")
     keyed = nodes.select("node", "fp", table).select("node", "fp", "b.t", "b.key")
-    company = keyed.groupBy("t", "key").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo <> hi").select("t", "key")
+    # tables of their own, here and below: both sides of a join are plain exchanges, which a hot key may split
+    company = written(keyed.groupBy("t", "key").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo <> hi").select("t", "key"), "company")
     members = keyed.join(company, ["t", "key"])
     all_bits = (1 << BITS) - 1
     flips = F.lit(None).cast("array<bigint>")
@@ -105,7 +106,8 @@ def links(nodes: DataFrame, radius: int = 2) -> DataFrame:
         flips = F.when(F.col("t") == t, _long_array(_flips(all_bits & ~m, radius // 2))).otherwise(flips)
     named = members.select("node", F.col("fp").alias("own"), F.explode(flips).alias("flip")).select("node", F.col("own").bitwiseXOR(F.col("flip")).alias("value")).distinct()
     named = written(named, "named_values")
-    least = named.groupBy("value").agg(F.min("node").alias("m"), F.max("node").alias("x")).where("m <> x").select("value", "m")
+    least = written(named.groupBy("value").agg(F.min("node").alias("m"), F.max("node").alias("x")).where("m <> x").select("value", "m"), "least_nodes")
+    discard(company)
     return named.join(least, "value").where("node <> m").select(F.col("node").alias("u"), F.col("m").alias("v")).distinct()
 
 
@@ -129,13 +131,17 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, id_col:
 
 
 def keep_one(docs: DataFrame, shingle: int = 3, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, that name their class: one identifier of each class stays.
+    """The rows of ``docs``, all columns, that name their class: one of each class stays.
 
-    Rows without identifier name no class and stay; of rows that repeat an
-    identifier one stays.
+    Rows without identifier name no class and stay.  Rows that repeat an
+    identifier are told apart by their texts: of the texts of a class under
+    its smallest identifier the one of least hash stays, once.
     """
-    classes = near_duplicates(docs, shingle, radius, id_col, text_col)
-    names = classes.where("doc_id = component_id").select(F.col("doc_id").alias("_name")).distinct()
-    own = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-    kept = own.join(names, F.col("_id") == F.col("_name"), "left_semi")
-    return kept.dropDuplicates(["_id"]).unionByName(own.where("_id IS NULL")).select("row.*")
+    own = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("_id"), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("_key"), F.col(text_col).cast("string").alias("_text"))
+    texts = own.where("_id IS NOT NULL").select("_key", "_text").dropDuplicates(["_key"])
+    # texts are the nodes, named by their hash
+    classes = near_duplicates(texts, shingle, radius, "_key", "_text").select(F.col("doc_id").alias("_key"), "component_id")
+    ids = own.where("_id IS NOT NULL").groupBy("_key").agg(F.min("_id").alias("_id"))
+    names = ids.join(classes, "_key").groupBy("component_id").agg(F.min(F.struct("_id", "_key")).alias("n")).select("n.*")
+    kept = own.where("_id IS NOT NULL").join(names, ["_id", "_key"], "left_semi").dropDuplicates(["_id", "_key"])
+    return kept.unionByName(own.where("_id IS NULL")).select("row.*")

@@ -106,19 +106,33 @@ def as_string(fp: Column) -> Column:
     return F.concat(hexes(fp["hash"], 16), F.lit(":"), hexes(fp["pos"], 8))
 
 
-def _bucket(bounds: list[int], parts: int) -> Column:
-    """A number that does not fall with doc_id: a balanced search for the quantile, equal widths below it."""
+def _leaf(bounds: list[int]) -> Column:
+    """The number of the quantile that doc_id lies in, by a balanced search; null identifiers are in the first."""
     key = F.col("doc_id")
 
     def search(lo: int, hi: int) -> Column:
-        if hi - lo == 1:
-            left, right = bounds[lo], bounds[hi]
-            inner = F.floor((key.cast("double") - left) * (parts / max(1, right - left))).cast("long")
-            return F.lit(lo * parts).cast("long") + F.greatest(F.lit(0).cast("long"), F.least(F.lit(parts - 1).cast("long"), inner))
+        if hi - lo <= 1:
+            return F.lit(lo)
         mid = (lo + hi) // 2
         return F.when(key < bounds[mid], search(lo, mid)).otherwise(search(mid, hi))
 
-    return F.coalesce(search(0, len(bounds) - 1), F.lit(0).cast("long")) if len(bounds) > 1 else F.lit(0).cast("long")
+    return F.coalesce(search(0, len(bounds) - 1), F.lit(0)) if len(bounds) > 1 else F.lit(0)
+
+
+def _dealt(docs: DataFrame) -> DataFrame:
+    """``docs`` plus ``_bucket``, a number that does not fall with doc_id: quantiles, and quantiles within each of them."""
+    n = docs.count()
+    leaves = max(1, min(LEAVES, -(-n // BUCKET_ROWS)))
+    parts = max(1, min(BUCKETS, -(-n // BUCKET_ROWS)) // leaves)
+    steps = lambda k: [i / k for i in range(k + 1)]
+    found = docs.agg(F.percentile_approx("doc_id", steps(leaves), 10_000).alias("q")).first()
+    bounds = sorted(set(found["q"] or []))
+    by_leaf = docs.withColumn("_leaf", _leaf(bounds))
+    if parts == 1:
+        return by_leaf.withColumnRenamed("_leaf", "_bucket")
+    inner = by_leaf.groupBy("_leaf").agg(F.percentile_approx("doc_id", steps(parts)[1:-1], 10_000).alias("_inner"))  # a row for each leaf
+    within = F.greatest(F.lit(0), F.coalesce(F.size(F.filter("_inner", lambda x: x <= F.col("doc_id"))), F.lit(0)))
+    return by_leaf.join(F.broadcast(inner), "_leaf").withColumn("_bucket", F.col("_leaf") * parts + within).drop("_leaf", "_inner")
 
 
 def with_next(docs: DataFrame, columns: list[str], derived: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
@@ -129,14 +143,8 @@ def with_next(docs: DataFrame, columns: list[str], derived: Callable[[DataFrame]
     columns once those few are chosen, before rows are dealt.  Null identifiers
     come first, and equal ones in order of a hash of their columns.
     """
-    n = docs.count()
-    leaves = max(1, min(LEAVES, -(-n // BUCKET_ROWS)))
-    parts = max(1, min(BUCKETS, -(-n // BUCKET_ROWS)) // leaves)
-    steps = [i / leaves for i in range(leaves + 1)]
-    found = docs.agg(F.percentile_approx("doc_id", steps, 10_000).alias("q"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).first()
-    bounds = sorted({found["lo"], *found["q"], found["hi"]}) if found["lo"] is not None else []
-    dealt = docs.withColumn("_bucket", _bucket(bounds, parts)).withColumn("_again", F.lit(False))
-    heads = docs.select("doc_id", _bucket(bounds, parts).alias("_bucket")).groupBy("_bucket").agg(F.min("doc_id").alias("_head")).where("_head IS NOT NULL")
+    dealt = _dealt(docs).withColumn("_again", F.lit(False))
+    heads = dealt.select("doc_id", "_bucket").groupBy("_bucket").agg(F.min("doc_id").alias("_head")).where("_head IS NOT NULL")
     by_bucket = Window.orderBy("_bucket")  # a row for each bucket
     ahead = heads.select("_head", F.coalesce(F.lag("_bucket").over(by_bucket), F.max("_bucket").over(Window.partitionBy())).alias("_before"))
     again = dealt.join(F.broadcast(ahead), F.col("doc_id") == F.col("_head")).withColumn("_bucket", F.col("_before")).withColumn("_again", F.lit(True)).select(*dealt.columns)

@@ -146,6 +146,12 @@ def test_simhash_edges(edges):
     assert simhash.near_duplicates(edges.limit(0)).count() == 0
 
 
+def test_no_text_is_lost_under_a_repeated_identifier(spark):
+    rows = [(5, "alpha beta gamma delta"), (5, "alpha beta gamma delta"), (5, "quite another text of more words"), (6, "ALPHA beta gamma delta"), (None, "alpha beta gamma delta")]
+    got = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted([rows[0], rows[2], rows[4]], key=repr)
+
+
 # --- lines -----------------------------------------------------------------------------------------------------------
 
 

@@ -187,6 +187,7 @@ def check_op2(got, texts):
 
 def test_op2_against_brute_force(spark, texts, monkeypatch):
     monkeypatch.setattr(syncmers, "BUCKET_ROWS", 20)
+    monkeypatch.setattr(syncmers, "LEAVES", 3)
     got = {r["doc_id"]: r for r in queries.op2_syncmers(spark, SMALL).collect()}
     check_op2(got, texts)
     assert np.median([r["near_edited"] for r in got.values()]) > 0.5 > 0.1 > np.median([r["near_next"] for r in got.values()])
