@@ -1,10 +1,14 @@
-"""Classes of near copies by exact likeness: Jaccard 0.8 or more of the sets of 5-word shingles.
-
-Two sets that are alike share a shingle among the first fifth of both, in any
-order common to all texts (prefix filtering), and the first such shingle stands
-early enough in both (positional filter): no pair is lost, and candidates are
-confirmed on their texts.  Shingles that a sample of the texts repeats come
-last in the order, which keeps buckets short and changes no result.
+"""Classes of near copies: SimHash links, completed to all pairs with a Jaccard likeness of 0.8 of their 5-word shingles.
+
+Fingerprints of 5-word shingles that covering locality-sensitive hashing joins
+(``simhash.links``) are candidates.  Texts that are alike differ in 10 of 64
+bits on average, more than covering masks of any bearable number reach, so the
+rest is found exactly: two sets that are alike share a shingle among the first
+fifth of both, in any order common to all texts (prefix filtering), and the
+first such shingle stands early enough in both (positional filter).  No pair
+is lost, and all candidates are confirmed on their texts.  Shingles that a
+sample of the texts repeats come last in the order, which keeps buckets short
+and changes no result.
 
 Members of a bucket are first confirmed against a few leaders.  Pairs that this
 has joined already need no look; of the others every one is a candidate.
@@ -13,53 +17,111 @@ has joined already need no look; of the others every one is a candidate.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm import simhash
 from tessera.llm.components import components
+from tessera.llm.hashed_words import Window, spaced
 from tessera.llm.shared import discard, small_batches, text_or_empty, written
 
 SHINGLE = 5
 #: A text in so many is sampled; shingles of so many sampled texts come last, the most frequent ones if they are more.
 SAMPLE, FREQUENT, MOST_FREQUENT = 16, 3, 1 << 17
+#: Bytes of text whose shingles are hashed at a time.
+_AT_ONCE = 2 << 20
+
+
+@lru_cache(maxsize=1)
+def _folded() -> np.ndarray:
+    """A byte table that folds A-Z and makes ASCII white space plain spaces."""
+    table = spaced()
+    table[65:91] += 32
+    return table
+
+
+def _scrambled(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def _of_few(texts: list[bytes]) -> list[np.ndarray]:
+    window = Window(texts, _folded())
+    words = _scrambled(window.words())
+    per_text = np.bincount(window.doc, minlength=len(texts))
+    starts = np.cumsum(per_text) - per_text
+    h = np.zeros(max(0, len(words) - SHINGLE + 1), np.uint64)
+    for j in range(SHINGLE):
+        h = _scrambled(h ^ words[j : j + len(h)])
+    out = []
+    for at, n in zip(starts.tolist(), per_text.tolist()):
+        if n >= SHINGLE:
+            out.append(np.unique(h[at : at + n - SHINGLE + 1]))
+        else:  # all words are one shingle; none make none
+            one = np.full(min(n, 1), n, np.uint64)
+            for w in words[at : at + n]:
+                one = _scrambled(one ^ w)
+            out.append(one)
+    return out
 
 
-def shingles(text: bytes) -> np.ndarray:
-    """The distinct hashes, sorted, of a text's shingles: words between ASCII white space, A-Z folded."""
-    from xxhash import xxh64_intdigest
-
-    words = text.lower().split()
-    n = max(1, len(words) - SHINGLE + 1) if words else 0
-    return np.unique(np.fromiter((xxh64_intdigest(b" ".join(words[k : k + SHINGLE]), 42) for k in range(n)), "<u8", n))
+def shingles(texts: list[bytes]) -> list[np.ndarray]:
+    """The distinct hashes, sorted, of each text's shingles: words between ASCII white space, A-Z folded."""
+    out, held, size = [], [], 0
+    for t in texts:
+        held.append(t)
+        size += len(t)
+        if size >= _AT_ONCE:
+            out += _of_few(held)
+            held, size = [], 0
+    return out + _of_few(held) if held else out
 
 
 def alike(x: np.ndarray, y: np.ndarray) -> bool:
     """Whether the Jaccard likeness of two sets is 0.8 or more; that of two empty sets is 1."""
+    if 5 * min(len(x), len(y)) < 4 * max(len(x), len(y)):
+        return False
     both = len(np.intersect1d(x, y, assume_unique=True))
     return 5 * both >= 4 * (len(x) + len(y) - both)
 
 
+def _fingerprint(h: np.ndarray) -> int:
+    """The signed SimHash of a set of hashes."""
+    counts = np.zeros(simhash.BITS, np.int64)
+    for k in range(0, len(h), 1 << 16):
+        counts += np.unpackbits(h[k : k + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * counts > len(h), bitorder="little").view("<i8")[0])
+
+
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for text in batch.column(0).cast(pa.binary()).to_pylist():
-            yield pa.record_batch([pa.array(shingles(text).view("<i8"))], names=["token"])
+        for found in shingles(batch.column(0).cast(pa.binary()).to_pylist()):
+            yield pa.record_batch([pa.array(found.view("<i8"))], names=["token"])
 
 
 def _prefixes(frequent: np.ndarray):
-    schema = pa.schema([("node", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int32()), ("prefix", pa.list_(pa.int64()))])
+    """``frequent`` is sorted."""
+    schema = pa.schema([("node", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int32()), ("fp", pa.int64()), ("prefix", pa.list_(pa.int64()))])
+
+    def is_frequent(h: np.ndarray) -> np.ndarray:
+        if not len(frequent):
+            return np.zeros(len(h), bool)
+        return frequent[np.minimum(np.searchsorted(frequent, h), len(frequent) - 1)] == h
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, prefixes = [], []
-            for text in batch.column(2).cast(pa.binary()).to_pylist():
-                h = shingles(text)
-                late = np.isin(h, frequent)
+            sizes, prints, prefixes = [], [], []
+            for h in shingles(batch.column(2).cast(pa.binary()).to_pylist()):
+                late = is_frequent(h)
                 sizes.append(len(h))
+                prints.append(_fingerprint(h))
                 prefixes.append(np.concatenate([h[~late], h[late]])[: len(h) // 5 + 1].view("<i8"))
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(sizes, pa.int32()), pa.array(prefixes, schema.field(3).type)], schema=schema)
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(sizes, pa.int32()), pa.array(prints, pa.int64()), pa.array(prefixes, schema.field(4).type)], schema=schema)
 
     return run
 
@@ -68,17 +130,18 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
     for batch in batches:
         x, y = (batch.column(k).cast(pa.binary()).to_pylist() for k in (2, 3))
-        sets = {t: shingles(t) for t in {*x, *y}}
+        known = list({*x, *y})
+        sets = dict(zip(known, shingles(known)))
         keep = pa.array([alike(sets[a], sets[b]) for a, b in zip(x, y)], pa.bool_())
         yield pa.record_batch([batch.column(0).filter(keep), batch.column(1).filter(keep)], schema=schema)
 
 
 def _frequent(texts: DataFrame) -> np.ndarray:
-    """Hashes of the shingles that the sampled texts repeat; each distinct text counts once."""
+    """Sorted hashes of the shingles that the sampled texts repeat; each distinct text counts once."""
     sample = texts.where(F.col("node").bitwiseAND(F.lit(SAMPLE - 1)) == 0).dropDuplicates(["node"]).select("text")
     counts = sample.mapInArrow(_sampled, "token long").groupBy("token").count().where(F.col("count") >= FREQUENT)
     found = counts.orderBy(F.desc("count"), "token").limit(MOST_FREQUENT).select("token").collect()
-    return np.array([r["token"] for r in found], "<i8").view("<u8")
+    return np.sort(np.array([r["token"] for r in found], "<i8").view("<u8"))
 
 
 def _possible(a: str, b: str) -> Column:
@@ -98,8 +161,15 @@ def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return out
 
 
+def _by_fingerprint(nodes: DataFrame) -> DataFrame:
+    """Pairs (u, v) by SimHash: texts of equal fingerprint, as stars, and what covering masks join."""
+    least = written(nodes.groupBy("fp").agg(F.min("node").alias("m")), "fingerprints")
+    equal = nodes.select("node", "fp").join(least, "fp").where("node <> m").select(F.col("node").alias("u"), F.col("m").alias("v"))
+    return equal.unionByName(simhash.links(least.select(F.col("m").alias("node"), "fp")))
+
+
 def links(nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """Edges (u, v) whose components are those of all pairs that are alike; nodes (node, n, prefix), texts (node, text)."""
+    """Edges (u, v) whose components are those of all pairs that are alike; nodes (node, n, fp, prefix), texts (node, text)."""
     rows = written(nodes.select("node", "n", F.posexplode("prefix").alias("i", "token")), "shingle_rows")
     # a table of its own, here and below: both sides of a join are plain exchanges, which a hot shingle may split
     company = written(rows.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("token"), "company")
@@ -109,7 +179,7 @@ def links(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     sized = members.groupBy("token", F.floor(F.log("n") / F.log(F.lit(1.25))).alias("size")).agg(F.min(F.struct("i", "node", "n")).alias("l"))
     leaders = sized.select("token", "l.*")
     stars = members.alias("a").join(leaders.alias("b"), "token").where(F.col("a.node") != F.col("b.node")).where(_possible("a", "b"))
-    first = _links(stars.select(F.col("a.node").alias("u"), F.col("b.node").alias("v")), texts)
+    first = _links(stars.select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).unionByName(_by_fingerprint(nodes)), texts)
     split = members.join(components(first), "node", "left").withColumn("root", F.coalesce("root", "node"))
     split = written(split, "members_by_class")
     discard(members)
@@ -131,19 +201,19 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     A class is what pairs of texts that are alike connect; all texts without
     words are alike.  Rows without identifier stay and name no class.  Rows
-    that repeat an identifier are told apart by their words: one of equal rows
+    that repeat an identifier are told apart by their texts: one of equal rows
     stays.
     """
     small_batches(docs.sparkSession)
-    folded = F.translate(text_or_empty(text_col), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    words = F.trim(F.regexp_replace(folded, r"[ \t\n\x0B\f\r]+", " "))
-    own = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("_id"), F.xxhash64(words).alias("_key"))
-    texts = docs.select(F.xxhash64(words).alias("node"), F.col(id_col).cast("long").alias("doc_id"), words.alias("text")).where("doc_id IS NOT NULL")
-    prints = written(texts.mapInArrow(_prefixes(_frequent(texts)), "node long, doc_id long, n int, prefix array<long>"), "prefixes")
-    nodes = prints.where("n > 0").dropDuplicates(["node"]).select("node", "n", "prefix")
+    key = F.xxhash64(text_or_empty(text_col))
+    own = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("_id"), key.alias("_key"))
+    texts = docs.select(key.alias("node"), F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).where("doc_id IS NOT NULL")
+    prints = written(texts.mapInArrow(_prefixes(_frequent(texts)), "node long, doc_id long, n int, fp long, prefix array<long>"), "prefixes")
+    nodes = prints.where("n > 0").dropDuplicates(["node"]).select("node", "n", "fp", "prefix")
     roots = components(links(nodes, texts.select("node", "text")))
-    least = prints.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    classes = least.join(roots, "node", "left").groupBy(F.coalesce("root", "node")).agg(F.min(F.struct("doc_id", "node")).alias("least"))
+    least = prints.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"))
+    root = F.when(F.col("n") > 0, F.coalesce("root", "node"))  # texts without words have none, and are one class
+    classes = least.join(roots, "node", "left").groupBy(root.alias("root")).agg(F.min(F.struct("doc_id", "node")).alias("least"))
     names = classes.select(F.col("least.doc_id").alias("_id"), F.col("least.node").alias("_key"))
     kept = own.where("_id IS NOT NULL").join(names, ["_id", "_key"], "left_semi").dropDuplicates(["_id", "_key"])
     return kept.unionByName(own.where("_id IS NULL")).select("row.*")
