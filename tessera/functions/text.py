@@ -50,6 +50,15 @@ def to_ascii(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield texts.map(lambda t: None if t is None else "".join(known.setdefault(c, _romanised(c)) if c not in known else known[c] for c in t))
 
 
+def romanised(df, columns: tuple[str, ...] = ("name", "addr")):
+    """``df`` with letters of other scripts in some columns made ASCII; rows of Latin letters do not reach Python."""
+    for c in columns:
+        latin = plain_latin(F.col(c))
+        other = F.when(latin.rlike(r"[^\x00-\x7F]"), F.col(c))
+        df = df.withColumn("_other", to_ascii(other)).withColumn(c, F.coalesce("_other", F.col(c))).drop("_other")
+    return df
+
+
 def _cleaned(x: Column, patterns: list[tuple[str, str]]) -> Column:
     x = F.coalesce(x, F.lit(""))
     for pattern, to in patterns:

@@ -15,8 +15,13 @@ KEY_CAP, TOP = 500, 30
 
 
 def exploded(records: DataFrame) -> DataFrame:
-    """A row for each key of a record: entity_id, country, kord, key, w."""
-    return records.select("entity_id", "country", F.explode("keys").alias("k")).select("entity_id", "country", "k.kord", "k.key", "k.w")
+    """A row for each key of a record: entity_id, country, kord, key, w.
+
+    ``explode`` would put a test of the array's size below all projections,
+    which computes the keys twice; the outer form with a test of its rows does not.
+    """
+    rows = records.select("entity_id", "country", F.explode_outer("keys").alias("k")).where("k IS NOT NULL")
+    return rows.select("entity_id", "country", "k.kord", "k.key", "k.w")
 
 
 def key_frequency(pool_keys: DataFrame) -> DataFrame:
@@ -24,17 +29,21 @@ def key_frequency(pool_keys: DataFrame) -> DataFrame:
 
 
 def capped(pool_keys: DataFrame, cap: int = KEY_CAP, never: str | None = None) -> DataFrame:
-    """Pool keys of at most ``cap`` rows in their country, with df; keys that start with ``never`` are never cut."""
-    kept = key_frequency(pool_keys).where((F.col("df") <= cap) | (F.col("key").startswith(never) if never else F.lit(False)))
-    return pool_keys.join(kept, ["country", "key"])
+    """Pool keys of at most ``cap`` rows in their country; keys that start with ``never`` are never cut.
+
+    Frequencies are summed before the shuffle, and only the keys over the cap
+    come back: a small side that Spark broadcasts if its measured size allows,
+    so that rows of a hot key go where they are read.
+    """
+    hot = key_frequency(pool_keys).where((F.col("df") > cap) & (~F.col("key").startswith(never) if never else F.lit(True)))
+    return pool_keys.join(hot.select("country", "key"), ["country", "key"], "left_anti")
 
 
-def scored_pairs(s1_keys: DataFrame, pool_keys: DataFrame, score=None) -> DataFrame:
+def scored_pairs(s1_keys: DataFrame, pool_keys: DataFrame) -> DataFrame:
     """(country, s1, cand, blk, min_kord): the sum of weights over shared keys, repeats counted."""
     left = s1_keys.select("country", "key", F.col("entity_id").alias("s1"), "kord", "w")
-    right = pool_keys.select("country", "key", F.col("entity_id").alias("cand"), "df")
-    joined = left.join(right, ["country", "key"])
-    return joined.groupBy("country", "s1", "cand").agg(F.sum(F.col("w") if score is None else score).alias("blk"), F.min("kord").alias("min_kord"))
+    joined = left.join(pool_keys.select("country", "key", F.col("entity_id").alias("cand")), ["country", "key"])
+    return joined.groupBy("country", "s1", "cand").agg(F.sum("w").alias("blk"), F.min("kord").alias("min_kord"))
 
 
 def top_candidates(pairs: DataFrame, k: int = TOP) -> DataFrame:
@@ -53,7 +62,8 @@ def idf_candidates(keyed: DataFrame, cap: int = KEY_CAP, k: int = 25, plus: floa
     """As ``candidates``, a key counting ln((N+1)/(df+1)) + ``plus`` times its weight."""
     s1, pool = keyed.where("source = 1"), keyed.where("source <> 1")
     size = pool.agg(F.count("*").alias("n"))  # one row
-    pool_keys = capped(exploded(pool), cap).crossJoin(F.broadcast(size))
+    pool_keys = capped(exploded(pool), cap)
+    pool_keys = pool_keys.join(key_frequency(pool_keys), ["country", "key"]).crossJoin(F.broadcast(size))
     left = exploded(s1).select("country", "key", F.col("entity_id").alias("s1"), "kord", "w")
     joined = left.join(pool_keys.select("country", "key", F.col("entity_id").alias("cand"), "df", "n"), ["country", "key"])
     gain = F.round((F.log((F.col("n") + 1) / (F.col("df") + 1)) + plus) * F.col("w"), 9).cast("decimal(20,9)")

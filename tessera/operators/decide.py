@@ -68,23 +68,24 @@ def tier2_anchor(a_set: Column) -> Column:
 def tiers(pairs: DataFrame, canon: DataFrame, exact_address: bool = True) -> DataFrame:
     """(s1, cand, blk, tier, p): tier 1 scores 1.00, tier 2 0.95, all else tier 0 without a score.
 
-    Measures run in Python, so each is asked only of pairs that may need it:
-    address likeness where numbers and places leave the case open, name
-    likeness where the anchor holds.  ``exact_address=False`` counts every
-    address likeness as 0.
+    One pass over the pairs.  Measures run in Python, so each gets its strings
+    only of pairs that may need it, and nulls of all others: address likeness
+    where numbers and places leave the case open, name likeness where the
+    anchor holds.  ``exact_address=False`` counts every address likeness as 0.
     """
-    df = paired(pairs, canon, CANON_COLUMNS)
-    zero = F.lit(0.0)
+    df, c = paired(pairs, canon, CANON_COLUMNS), F.col
+    zero, full = F.lit(0.0), F.lit(100.0)
+    asked = lambda flag, name: F.when(F.col(flag), F.col(name))
     if exact_address:
-        open_case = (tier1(F.lit(100.0)) != tier1(zero)) | (tier2_anchor(F.lit(100.0)) != tier2_anchor(zero))
-        df = df.withColumn("_open", F.coalesce(open_case & (F.col("s_canon_addr") != "") & (F.col("c_canon_addr") != ""), F.lit(False)))
-        asked = with_measures(df.where("_open"), "s_canon_addr", "c_canon_addr", "a_", ["set"])
-        df = asked.unionByName(df.where("NOT _open").withColumn("a_set", zero)).drop("_open")
+        unsettled = (tier1(full) != tier1(zero)) | (tier2_anchor(full) != tier2_anchor(zero))
+        df = df.withColumn("_open", F.coalesce(unsettled & (c("s_canon_addr") != "") & (c("c_canon_addr") != ""), F.lit(False)))
+        df = df.withColumns({"_sa": asked("_open", "s_canon_addr"), "_ca": asked("_open", "c_canon_addr")})
+        df = with_measures(df, "_sa", "_ca", "a_", ["set"])
     else:
         df = df.withColumn("a_set", zero)
-    df = df.withColumns({"_one": F.coalesce(tier1(F.col("a_set")), F.lit(False)), "_two": F.coalesce(tier2_anchor(F.col("a_set")), F.lit(False))})
-    asked = with_measures(df.where("_two AND NOT _one"), "s_canon_name", "c_canon_name", "n_", ["set", "jw"])
-    close = F.greatest("n_set", "n_jw") >= NAME_BAR
-    rest = df.where("_one OR NOT _two").withColumns({"n_set": zero, "n_jw": zero})
-    tier = F.when(F.col("_one"), 1).when(close, 2).otherwise(0)
-    return asked.unionByName(rest).select("s1", "cand", "blk", tier.alias("tier"), F.when(tier == 1, 1.0).when(tier == 2, 0.95).alias("p"))
+    df = df.withColumns({"_one": F.coalesce(tier1(c("a_set")), F.lit(False)), "_two": F.coalesce(tier2_anchor(c("a_set")), F.lit(False))})
+    df = df.withColumn("_ask", c("_two") & ~c("_one")).withColumns({"_sn": asked("_ask", "s_canon_name"), "_cn": asked("_ask", "c_canon_name")})
+    df = with_measures(df, "_sn", "_cn", "n_", ["set", "jw"])
+    close = c("_ask") & (F.greatest("n_set", "n_jw") >= NAME_BAR)
+    tier = F.when(c("_one"), 1).when(close, 2).otherwise(0)
+    return df.select("s1", "cand", "blk", tier.alias("tier"), F.when(tier == 1, 1.0).when(tier == 2, 0.95).alias("p"))

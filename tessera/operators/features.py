@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.distance import with_measures
+from tessera.functions.distance import with_all_measures
 from tessera.functions.phonetic import metaphone
 
 #: The 34 features in order.
@@ -91,11 +91,15 @@ NORM_COLUMNS = ["n_norm", "a_norm", "n_toks", "a_toks", "first_tok", "nums"]
 
 def production(pairs: DataFrame, norm: DataFrame) -> DataFrame:
     """(s1, cand, country) and the 34 features of top pairs with blk; ``norm`` as from ``text.normalised``."""
-    with_sound = norm.withColumns({"sound": metaphone(F.array_join("n_toks", " ")), "first_sound": metaphone(F.col("first_tok")), "all_sound": metaphone(F.col("n_norm")), "ordered": F.array_join(F.sort_array(F.array_distinct("n_toks")), " "), "all_ordered": F.array_join(F.sort_array(F.array_distinct(_words(F.col("n_norm")))), " ")})
+    # one call for a record: a code for each pruned word, then for each word of the whole name
+    pruned = F.size("n_toks")
+    with_sound = norm.withColumn("_sounds", F.split(metaphone(F.concat_ws(" ", "n_toks", "n_norm")), " "))
+    with_sound = with_sound.withColumns({"sound": F.array_join(F.slice("_sounds", F.lit(1), pruned), " "), "all_sound": F.array_join(F.slice("_sounds", pruned + 1, F.size("_sounds")), " ")})
+    with_sound = with_sound.withColumns({"first_sound": F.substring_index("sound", " ", 1), "ordered": F.array_join(F.sort_array(F.array_distinct("n_toks")), " "), "all_ordered": F.array_join(F.sort_array(F.array_distinct(_words(F.col("n_norm")))), " ")})
     df = overlap(paired(pairs, with_sound, [*NORM_COLUMNS, "sound", "first_sound", "all_sound", "ordered", "all_ordered"]))
-    df = with_measures(df, "s_n_norm", "c_n_norm", "n_", ["set", "sort", "part", "ratio", "jw", "dl", "lcs"])
-    df = with_measures(df, "s_a_norm", "c_a_norm", "a_", ["set", "part", "jw", "ratio", "dl", "lcs"])
-    df = with_measures(df, "s_ordered", "c_all_ordered", "o_", ["ratio"])
+    names = ("s_n_norm", "c_n_norm", "n_", ["set", "sort", "part", "ratio", "jw", "dl", "lcs"])
+    addresses = ("s_a_norm", "c_a_norm", "a_", ["set", "part", "jw", "ratio", "dl", "lcs"])
+    df = with_all_measures(df, [names, addresses, ("s_ordered", "c_all_ordered", "o_", ["ratio"])])
     both = F.col("addr_both_present") == 1
     df = df.withColumns({f"a_{m}": F.when(both, F.col(f"a_{m}")).otherwise(0.0) for m in ("set", "part", "jw", "ratio", "dl", "lcs")})
     return df.withColumns({
@@ -110,8 +114,7 @@ def cascade(pairs: DataFrame, canon: DataFrame) -> DataFrame:
     """(s1, cand) and the 15 features, 0 to 1, of pairs with blk; ``canon`` as from ``text.canonical``."""
     sounds = canon.withColumn("sound", metaphone(F.array_join(F.transform(F.filter("core_toks", lambda t: F.length(t) >= 3), lambda t: F.replace(t, F.lit(" "), F.lit(""))), " ")))
     df = paired(pairs, sounds, ["canon_name", "canon_addr", "core_toks", "core_first", "addr_nums", "locality", "sound"])
-    df = with_measures(df, "s_canon_name", "c_canon_name", "m_", ["set", "sort", "ratio", "jw", "dl"])
-    df = with_measures(df, "s_canon_addr", "c_canon_addr", "b_", ["set", "jw"])
+    df = with_all_measures(df, [("s_canon_name", "c_canon_name", "m_", ["set", "sort", "ratio", "jw", "dl"]), ("s_canon_addr", "c_canon_addr", "b_", ["set", "jw"])])
     names, addrs = (F.col("s_canon_name") != "") & (F.col("c_canon_name") != ""), (F.col("s_canon_addr") != "") & (F.col("c_canon_addr") != "")
     share = lambda m, ok: F.when(ok, F.col(m) / 100).otherwise(0.0)
     shared = F.size(F.array_intersect("s_addr_nums", "c_addr_nums"))
@@ -126,8 +129,7 @@ def cascade(pairs: DataFrame, canon: DataFrame) -> DataFrame:
 def experiment(pairs: DataFrame, norm: DataFrame) -> DataFrame:
     """(s1, cand) and the 13 features of the first experiments; a missing address counts 50."""
     df = overlap(paired(pairs, norm, NORM_COLUMNS))
-    df = with_measures(df, "s_n_norm", "c_n_norm", "n_", ["set", "sort", "part", "ratio"])
-    df = with_measures(df, "s_a_norm", "c_a_norm", "a_", ["set", "part"])
+    df = with_all_measures(df, [("s_n_norm", "c_n_norm", "n_", ["set", "sort", "part", "ratio"]), ("s_a_norm", "c_a_norm", "a_", ["set", "part"])])
     both = F.col("addr_both_present") == 1
     df = df.withColumns({f"a_{m}": F.when(both, F.col(f"a_{m}")).otherwise(50.0) for m in ("set", "part")})
     return df.withColumn("blk_score", F.col("blk").cast("double")).select("s1", "cand", *EXPERIMENT)

@@ -16,8 +16,8 @@ from tessera.plans.oracle import CANON, CASCADE_KEYS, EXPERIMENT_KEYS, F_HALF, I
 from tessera.sources import lists
 from tessera.sources.adapters import ADAPTERS, table, true_pairs
 
-#: Key frequency cap of the queries with SQL, which binds on the example tables; queries without SQL keep to the default, 500.
-CAP = 30
+#: Key frequency cap; ``key_df_cap`` and ``capped_candidates`` use a smaller one, which binds on the small example tables.
+CAP, SMALL_CAP = blocking.KEY_CAP, 30
 #: Largest blocking score, to turn scores into 0 to 1.
 FULL = 24.0
 
@@ -161,10 +161,10 @@ def block_keys_phonetic(spark, sf_dir):
     return _key_rows(keys.production_keys(_norm(spark, sf_dir)))
 
 
-@query(with_(RECORDS["docs"], NORM, KEYS, select=f"SELECT country, key, count(*) AS df, count(*) <= {CAP} AS kept FROM keyed WHERE source <> 1 GROUP BY ALL"))
+@query(with_(RECORDS["docs"], NORM, KEYS, select=f"SELECT country, key, count(*) AS df, count(*) <= {SMALL_CAP} AS kept FROM keyed WHERE source <> 1 GROUP BY ALL"))
 def key_df_cap(spark, sf_dir):
     pool = blocking.exploded(_keyed(spark, sf_dir, "docs").where("source <> 1"))
-    return blocking.key_frequency(pool).withColumn("kept", F.col("df") <= CAP)
+    return blocking.key_frequency(pool).withColumn("kept", F.col("df") <= SMALL_CAP)
 
 
 def _scored(keyed: DataFrame, never=None) -> DataFrame:
@@ -216,6 +216,12 @@ def topk_candidates_experiment(spark, sf_dir):
     return blocking.candidates(keys.experiment_keys(_records(spark, sf_dir)), 400, 25).select("s1", "cand", "blk", F.col("rnk").cast("long").alias("rnk"))
 
 
+@query(with_(RECORDS["docs"], NORM, KEYS, oracle.scored(SMALL_CAP), oracle.top(30), select=_CAND_SELECT))
+def capped_candidates(spark, sf_dir):
+    """As ``topk_candidates_documents``, with a cap that cuts common keys of the small example tables too."""
+    return blocking.candidates(_keyed(spark, sf_dir, "docs"), SMALL_CAP, 30).select("s1", "cand", "blk", F.col("rnk").cast("long").alias("rnk"))
+
+
 _IDF_SELECT = "SELECT s1, cand, CAST(blk AS DOUBLE) AS blk, rnk FROM cands"
 
 
@@ -453,14 +459,14 @@ _LISTS = """spine AS (SELECT entity_id AS s1, country FROM rec WHERE source = 1)
 mlist AS (SELECT s.s1, coalesce(array_to_string(list_sort(list(o.cand) FILTER (o.cand IS NOT NULL)), ','), '') AS matches
   FROM spine s LEFT JOIN (SELECT * FROM own WHERE r = 1) o ON s.s1 = o.s1 GROUP BY s.s1),
 clist AS (SELECT s.s1, coalesce(array_to_string(list_sort(list(c.cand) FILTER (c.cand IS NOT NULL)), ','), '') AS candidates
-  FROM spine s LEFT JOIN (SELECT * FROM cands WHERE rnk <= 5) c ON s.s1 = c.s1 GROUP BY s.s1)"""
+  FROM spine s LEFT JOIN cands c ON s.s1 = c.s1 GROUP BY s.s1)"""
 
 
 def _lists(spark, sf_dir):
     spine = linkage.spine(_records(spark, sf_dir))
     cands = _cands(spark, sf_dir)
     matches = decide.exclusive(cands.select("s1", "cand", (F.col("blk") / FULL).alias("p")), 0.3)
-    return spine, decide.lists(spine, matches, "matches"), decide.lists(spine, cands.where("rnk <= 5"), "candidates")
+    return spine, decide.lists(spine, matches, "matches"), decide.lists(spine, cands, "candidates")
 
 
 @query(with_(*_PRODUCTION, _P, _OWN, _LISTS, select="SELECT s1, matches FROM mlist"))

@@ -6,6 +6,7 @@ persisted by the caller where it pays; nothing here loops over data.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,13 +21,13 @@ def spine(records: DataFrame) -> DataFrame:
 
 def production_candidates(records: DataFrame, cap: int = blocking.KEY_CAP, k: int = blocking.TOP, phonetic: bool = True) -> tuple[DataFrame, DataFrame]:
     """(normalised records, top candidates)."""
-    norm = text.normalised(records)
+    norm = text.normalised(text.romanised(records))
     return norm, blocking.candidates(keys.production_keys(norm, phonetic), cap, k)
 
 
 def cascade_candidates(records: DataFrame, cap: int = blocking.KEY_CAP, k: int = 50, phonetic: bool = True) -> tuple[DataFrame, DataFrame]:
     """(canonical records, top candidates); whole-name keys are never cut."""
-    canon = text.canonical(records)
+    canon = text.canonical(text.romanised(records))
     return canon, blocking.candidates(keys.cascade_keys(canon, phonetic), cap, k, never="nsig:")
 
 
@@ -62,8 +63,11 @@ def infer_cascade(records: DataFrame, fitted: PipelineModel | None = None, cap:
     judged = decide.tiers(cands, canon)
     sure = judged.where("tier > 0").select("s1", "cand", "p")
     if fitted is not None:
+        # read by both branches: kept on disk, computed again where an executor is lost
+        judged = judged.persist(StorageLevel.DISK_ONLY)
+        sure = judged.where("tier > 0").select("s1", "cand", "p")
         rest = judged.where("tier = 0").join(spine(records), "s1")
-        scored = model.scores(fitted, features.production(rest.select("s1", "cand", "country", "blk"), text.normalised(records)))
+        scored = model.scores(fitted, features.production(rest.select("s1", "cand", "country", "blk"), text.normalised(text.romanised(records))))
         sure = sure.unionByName(scored.where(F.col("p") >= decide.TIER3_THRESHOLD).select("s1", "cand", "p"))
     return decide.exclusive(sure, 0.0, margin), cands
 
