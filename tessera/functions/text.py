@@ -93,6 +93,11 @@ def numbers(lowered: Column) -> Column:
     return F.filter(found, lambda n: F.length(n).between(1, 6))
 
 
+def raw_numbers(addr: Column) -> Column:
+    """Distinct numbers of a raw address, digits of any script, as written."""
+    return F.array_distinct(F.regexp_extract_all(F.coalesce(addr, F.lit("")), F.lit(r"(?U)\b\d+\b"), F.lit(0)))
+
+
 def cleaned_name(name: Column) -> Column:
     return _cleaned(name, [(ID_SUFFIX, ""), (DOMAIN, " ")])
 

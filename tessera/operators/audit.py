@@ -58,3 +58,46 @@ def exact_match_rates(pairs: DataFrame) -> DataFrame:
         F.count("*").alias("pairs"), share(eq("name"), "raw_name"), share(eq("addr"), "raw_addr"), share(eq("n_norm"), "clean_name"), share(eq("a_norm"), "clean_addr"),
         share(eq_sorted("n_norm"), "sorted_name"), share(eq_sorted("a_norm"), "sorted_addr"), share(eq("n_norm") & eq("a_norm"), "clean_both"), share(F.arrays_overlap("s_nums", "c_nums"), "number_overlap"),
     )
+
+
+def canonical_match_rates(pairs: DataFrame) -> DataFrame:
+    """Shares of true pairs with equal canonical name, address and both; s_/c_ canon_name, canon_addr."""
+    share = lambda c, name: F.round(F.avg(F.coalesce(c, F.lit(False)).cast("double")), 6).alias(name)
+    eq = lambda c: (F.col(f"s_{c}") == F.col(f"c_{c}")) & (F.col(f"s_{c}") != "")
+    return pairs.agg(F.count("*").alias("pairs"), share(eq("canon_name"), "name"), share(eq("canon_addr"), "addr"), share(eq("canon_name") & eq("canon_addr"), "both"))
+
+
+def mismatches(pairs: DataFrame, column: str, n: int = 10) -> DataFrame:
+    """The first ``n`` pairs, by identifiers, whose sides differ in a column."""
+    return pairs.where(F.col(f"s_{column}") != F.col(f"c_{column}")).orderBy("s1", "cand").limit(n)
+
+
+def positions(df: DataFrame, order: str, leaves: int = 256) -> DataFrame:
+    """``df`` plus ``position``, its row's number (from 1) in order of a numeric column without repeats.
+
+    Rows are dealt by quantiles, numbered within each, and shifted by the
+    sizes of the quantiles before (``leaves`` rows at most).
+    """
+    found = df.agg(F.percentile_approx(order, [i / leaves for i in range(1, leaves)], 10_000).alias("q")).first()["q"] or []
+    part = F.lit(0)
+    for bound in sorted(set(found)):
+        part = part + (F.col(order) >= bound).cast("int")
+    dealt = df.withColumn("_part", part)
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    shift = dealt.groupBy("_part").count().select("_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_shift"))
+    within = F.row_number().over(Window.partitionBy("_part").orderBy(order))
+    return dealt.join(F.broadcast(shift), "_part").withColumn("position", (within + F.col("_shift")).cast("long")).drop("_part", "_shift")
+
+
+def position_leakage(records: DataFrame, truth: DataFrame) -> DataFrame:
+    """Correlation of the places of true pairs in their sources: a join with each source, of which one has the candidate."""
+    placed = [positions(records.where(F.col("source") == n).select("entity_id", id_number(F.col("entity_id")).alias("n")), "n") for n in (1, 2, 3)]
+    at = lambda k, key, name: placed[k].select(F.col("entity_id").alias(key), F.col("position").alias(name))
+    joined = truth.join(at(0, "s1", "p1"), "s1").join(at(1, "cand", "p2"), "cand", "left").join(at(2, "cand", "p3"), "cand", "left").withColumn("p", F.coalesce("p2", "p3"))
+    return joined.where("p IS NOT NULL").agg(F.count("*").alias("pairs"), F.round(F.corr("p1", "p"), 6).alias("correlation"), F.round(F.avg(F.abs(F.col("p1") - F.col("p"))), 6).alias("mean_distance"))
+
+
+def address_flags(addr: Column) -> tuple[Column, Column]:
+    """(missing, has digits)."""
+    text = F.coalesce(addr, F.lit(""))
+    return F.trim(text) == "", text.rlike("[0-9]")

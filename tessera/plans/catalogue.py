@@ -13,7 +13,7 @@ from tessera.functions.phonetic import metaphone
 from tessera.operators import audit, blocking, decide, evaluate, features, keys, model, splits
 from tessera.plans import linkage, oracle
 from tessera.plans.oracle import CANON, CASCADE_KEYS, EXPERIMENT_KEYS, F_HALF, IDF_KEYS, KEYS, NORM, RECORDS, TOTALS, TRUTH, with_
-from tessera.sources import lists
+from tessera.sources import lists, tables
 from tessera.sources.adapters import ADAPTERS, table, true_pairs
 
 #: Key frequency cap; ``key_df_cap`` and ``capped_candidates`` use a smaller one, which binds on the small example tables.
@@ -433,10 +433,20 @@ def cascade_tiers(spark, sf_dir):
 
 @query()
 def cascade_matches(spark, sf_dir):
+    """Tiers 1 and 2; ``cascade_with_model`` has the third."""
     matches, _ = linkage.infer_cascade(_records(spark, sf_dir))
     return matches.select("s1", "cand", "p")
 
 
+@query()
+def cascade_with_model(spark, sf_dir):
+    """All three tiers: pairs that the rules leave open go to the trees."""
+    records = _records(spark, sf_dir)
+    fitted = linkage.train(records, true_pairs(records, "parts"), FEWER_ROUNDS)
+    matches, _ = linkage.infer_cascade(records, fitted)
+    return matches.select("s1", "cand", "p")
+
+
 _P = f"scored AS (SELECT s1, cand, blk / {FULL} AS p FROM cands)"
 _OWN = "own AS (SELECT *, row_number() OVER (PARTITION BY cand ORDER BY p DESC, s1) AS r, lead(p) OVER (PARTITION BY cand ORDER BY p DESC, s1) AS second FROM scored WHERE p >= 0.3)"
 
@@ -749,13 +759,100 @@ def source_counts(spark, sf_dir):
     return docs.agg(F.count("*").alias("rows"), F.count_if(F.col("text").isNotNull() & (F.length(F.trim("text")) > 0)).alias("with_text"), F.count_distinct("lang").alias("langs"), F.sum("n_chars").alias("chars"))
 
 
+@query(with_(RECORDS["parts"], CANON, TRUTH["parts"], "m AS (SELECT s.canon_name AS sn, p.canon_name AS cn, s.canon_addr AS sa, p.canon_addr AS ca FROM truth t JOIN canon s ON t.s1 = s.entity_id JOIN canon p ON t.cand = p.entity_id)",
+  select="SELECT count(*) AS pairs, round(avg(CAST(sn = cn AND sn <> '' AS DOUBLE)), 6) AS name, round(avg(CAST(sa = ca AND sa <> '' AS DOUBLE)), 6) AS addr, round(avg(CAST(sn = cn AND sn <> '' AND sa = ca AND sa <> '' AS DOUBLE)), 6) AS \"both\" FROM m"))
+def canonical_match_rates(spark, sf_dir):
+    return audit.canonical_match_rates(features.paired(true_pairs(_records(spark, sf_dir), "parts"), _canon(spark, sf_dir), ["canon_name", "canon_addr"]))
+
+
+@query(with_(RECORDS["parts"], NORM, TRUTH["parts"], select="SELECT t.s1, t.cand, s.a_norm AS s_a_norm, p.a_norm AS c_a_norm FROM truth t JOIN norm s ON t.s1 = s.entity_id JOIN norm p ON t.cand = p.entity_id WHERE s.a_norm <> p.a_norm ORDER BY t.s1, t.cand LIMIT 10"))
+def mismatching_pairs(spark, sf_dir):
+    """A report of ten: true pairs whose normalised addresses differ."""
+    pairs = features.paired(true_pairs(_records(spark, sf_dir), "parts"), _norm(spark, sf_dir), ["a_norm"])
+    return audit.mismatches(pairs, "a_norm").select("s1", "cand", "s_a_norm", "c_a_norm")
+
+
+@query(
+    with_(
+        RECORDS["parts"], TRUTH["parts"],
+        "placed AS (SELECT entity_id, source, row_number() OVER (PARTITION BY source ORDER BY CAST(substring(entity_id, 4) AS BIGINT)) AS p FROM rec)",
+        "j AS (SELECT a.p AS p1, coalesce(b.p, c.p) AS p FROM truth t JOIN placed a ON t.s1 = a.entity_id LEFT JOIN (SELECT * FROM placed WHERE source = 2) b ON t.cand = b.entity_id LEFT JOIN (SELECT * FROM placed WHERE source = 3) c ON t.cand = c.entity_id)",
+        select="SELECT count(*) AS pairs, CASE WHEN isnan(corr(p1, p)) THEN NULL ELSE round(corr(p1, p), 6) END AS correlation, round(avg(abs(p1 - p)), 6) AS mean_distance FROM j WHERE p IS NOT NULL",
+    )
+)
+def position_correlation(spark, sf_dir):
+    records = _records(spark, sf_dir)
+    return audit.position_leakage(records, true_pairs(records, "parts"))
+
+
+@query(with_(RECORDS["docs"], select=f"SELECT entity_id FROM rec WHERE source = 1 AND {_bucket('entity_id', 42)} < 1500 AND {_bucket('entity_id', 43)} < 5000"))
+def holdout_subsample(spark, sf_dir):
+    """A sampling operator: half of the hold-out."""
+    return splits.holdout_part(_records(spark, sf_dir, "docs").where("source = 1"), "entity_id", 0.15, 0.5).select("entity_id")
+
+
+_TARGETS = "tgt AS (SELECT * FROM rec WHERE source <> 1 AND entity_id IN (SELECT cand FROM truth)), oth AS (SELECT * FROM rec WHERE source <> 1 AND entity_id NOT IN (SELECT cand FROM truth))"
+
+
+def _targets(spark, sf_dir):
+    records = _records(spark, sf_dir)
+    pool = records.where("source <> 1")
+    return pool.join(true_pairs(records, "parts").select(F.col("cand").alias("entity_id")), "entity_id", "left_semi"), pool
+
+
+@query(with_(RECORDS["parts"], TRUTH["parts"], _TARGETS, select="SELECT entity_id, name FROM tgt UNION ALL SELECT entity_id, name FROM (SELECT * FROM oth ORDER BY md5('7:' || entity_id), entity_id LIMIT 100)"))
+def targets_with_distractors(spark, sf_dir):
+    """A sampling operator: all targets and a hundred other records."""
+    targets, pool = _targets(spark, sf_dir)
+    return splits.with_distractors(targets, pool, "entity_id", 100, 7).select("entity_id", "name")
+
+
+@query(with_(RECORDS["parts"], TRUTH["parts"], _TARGETS, select="SELECT entity_id, name FROM (SELECT *, 1 AS o FROM tgt UNION ALL SELECT *, 2 FROM oth) ORDER BY o, entity_id LIMIT 150"))
+def limit_over_union(spark, sf_dir):
+    """A limit that binds to the whole of a union."""
+    targets, pool = _targets(spark, sf_dir)
+    return splits.limited_union(targets, pool.join(targets.select("entity_id"), "entity_id", "left_anti"), "entity_id", 150).select("entity_id", "name")
+
+
+@query(with_(RECORDS["docs"], select="SELECT entity_id, array_to_string(list_sort(list_distinct(regexp_extract_all(coalesce(addr, ''), '\\b[0-9]+\\b'))), ' ') AS numbers FROM rec"))
+def raw_number_sets(spark, sf_dir):
+    return _records(spark, sf_dir, "docs").select("entity_id", F.array_join(F.sort_array(text.raw_numbers(F.col("addr"))), " ").alias("numbers"))
+
+
+@query(with_(RECORDS["parts"], select="SELECT country, count(*) AS records, count(DISTINCT name) AS names FROM rec WHERE source <> 1 GROUP BY country"))
+def registered_sql(spark, sf_dir):
+    """SQL over a frame registered as a table."""
+    tables.register(_records(spark, sf_dir), "linkage_records")
+    return spark.sql("SELECT country, count(*) AS records, count(DISTINCT name) AS names FROM linkage_records WHERE source <> 1 GROUP BY country")
+
+
+_GROUPS = """flagged AS (SELECT sized.n, country, trim(coalesce(rec.addr, '')) = '' AS missing, regexp_matches(coalesce(rec.addr, ''), '[0-9]') AS digits, length(coalesce(rec.addr, '')) AS len FROM sized JOIN rec USING (country) WHERE s1 = entity_id),
+grouped AS (SELECT 'country' AS kind, country AS grp, n FROM flagged UNION ALL SELECT 'missing', CAST(missing AS VARCHAR), n FROM flagged UNION ALL SELECT 'digits', CAST(digits AS VARCHAR), n FROM flagged
+  UNION ALL SELECT 'length', CASE WHEN len < 20 THEN 'short' WHEN len < 50 THEN 'medium' ELSE 'long' END, n FROM flagged)"""
+
+
+@query(with_(*_RESULTS, _GROUPS, select="SELECT kind, grp, count(*) AS records, round(avg(n), 6) AS mean, median(n) AS median, round(avg(CAST(n = 0 AS DOUBLE)), 6) AS share_zero FROM grouped GROUP BY kind, grp"))
+def match_statistics_by_group(spark, sf_dir):
+    """Matches by country, by missing address, by digits in it and by its length, in one aggregate."""
+    missing, digits = audit.address_flags(F.col("addr"))
+    kinds = {"country": F.col("country"), "missing": missing.cast("string"), "digits": digits.cast("string"), "length": audit.length_bin(F.col("addr"), 20, 50)}
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), v.alias("grp")) for k, v in kinds.items()])).alias("g")
+    groups = _records(spark, sf_dir).where("source = 1").select(F.col("entity_id").alias("s1"), each).select("s1", "g.kind", F.struct("g.kind", "g.grp").alias("by"))
+    found = audit.match_statistics(_sizes(spark, sf_dir).join(groups, "s1"), "by")
+    return found.select("grp.kind", "grp.grp", "records", "mean", "median", "share_zero")
+
+
 # --- models ---------------------------------------------------------------------------------------------------------
 
 
+#: The queries train with fewer rounds than production.
+FEWER_ROUNDS = {"rounds": 40, "depth": 5, "rate": 0.1, "least": 5}
+
+
 @query()
 def model_scores(spark, sf_dir):
     records = _records(spark, sf_dir)
-    fitted = linkage.train(records, true_pairs(records, "parts"))
+    fitted = linkage.train(records, true_pairs(records, "parts"), FEWER_ROUNDS)
     matches, _ = linkage.infer(records, fitted, threshold=0.5)
     return matches
 
@@ -764,7 +861,7 @@ def model_scores(spark, sf_dir):
 def blended_scores(spark, sf_dir):
     records = _records(spark, sf_dir)
     rows = linkage.training_pairs(records, true_pairs(records, "parts")).persist()
-    trees, forest = model.fit_trees(rows, features.PRODUCTION), model.fit_forest(rows, features.PRODUCTION)
+    trees, forest = model.fit_trees(rows, features.PRODUCTION, **FEWER_ROUNDS), model.fit_forest(rows, features.PRODUCTION)
     both = model.scores(forest, model.scores(trees, rows, "p_trees"), "p_forest")
     return model.blend(both, "p_trees", "p_forest").select("s1", "cand", "label", "p_trees", "p_forest", "p")
 

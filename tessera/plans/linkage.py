@@ -42,14 +42,23 @@ def training_pairs(records: DataFrame, truth: DataFrame, cap: int = blocking.KEY
     return rows.join(pairs.select("s1", "cand", "label", (F.col("split") == "val").alias("is_val")), ["s1", "cand"])
 
 
-def train(records: DataFrame, truth: DataFrame, **options) -> PipelineModel:
+def train(records: DataFrame, truth: DataFrame, settings: dict | None = None, **options) -> PipelineModel:
     rows = training_pairs(records, truth, **options).persist()
     try:
-        return model.fit_trees(rows, features.PRODUCTION)
+        return model.fit_trees(rows, features.PRODUCTION, **(settings or model.PRODUCTION))
     finally:
         rows.unpersist()
 
 
+def tiered_validation(records: DataFrame, truth: DataFrame, per_country: int = 1000, seed: int = 42) -> DataFrame:
+    """Totals of tiers 1 and 2 (see ``evaluate.totals``) on up to ``per_country`` records of source 1 of every country, by hash, against the whole pool."""
+    own = records.where("source = 1").withColumn("_h", F.md5(F.concat(F.lit(f"{seed}:"), "entity_id").cast("binary")))
+    own = splits.stratified_head(own, "country", "_h", per_country).drop("_h")
+    sample = own.select(*records.columns).unionByName(records.where("source <> 1"))
+    matches, _ = infer_cascade(sample)
+    return evaluation(sample, truth, matches)
+
+
 def infer(records: DataFrame, fitted: PipelineModel, threshold: float = decide.THRESHOLD, margin: float = 0.0, cap: int = blocking.KEY_CAP, k: int = blocking.TOP) -> tuple[DataFrame, DataFrame]:
     """(matches, candidates) as pairs: classifier scores, one owner for each candidate."""
     norm, cands = production_candidates(records, cap, k)

@@ -18,6 +18,11 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     return _tsv(spark, path, SCHEMA)
 
 
+def read_ordered(spark: SparkSession, path: str) -> DataFrame:
+    """A source file plus ``ord``, which grows in order of its lines: the place of a line's block, and its number there."""
+    return _tsv(spark, path, SCHEMA).withColumn("ord", F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id().alias("line")))
+
+
 def read_truth(spark: SparkSession, path: str) -> DataFrame:
     """(s1, cand) pairs of a truth or match file; empty lists give none."""
     lists = _tsv(spark, path, "s1 string, ids string")
@@ -28,7 +33,10 @@ def write_lists(spine: DataFrame, pairs: DataFrame, path: str, names: tuple[str,
     """One list file in order of the spine, a line for every spine record, tab-separated and unquoted."""
     from tessera.operators.decide import lists
 
-    out = lists(spine, pairs, "ids").orderBy(order).select(F.col("s1").alias(names[0]), F.col("ids").alias(names[1]))
+    found = lists(spine.select("s1"), pairs, "ids")
+    if order != "s1":
+        found = found.join(spine.select("s1", order), "s1")
+    out = found.orderBy(order).select(F.col("s1").alias(names[0]), F.col("ids").alias(names[1]))
     out.coalesce(1).write.mode("overwrite").options(sep="\t", header=True, quote="", escape="", emptyValue="", nullValue="").csv(path)
 
 

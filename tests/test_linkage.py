@@ -69,7 +69,7 @@ def test_cascade_end_to_end(spark, parts):
 def test_train_infer_save_and_load(spark, parts, tmp_path):
     truth = adapters.true_pairs(parts, "parts")
     extra = parts.where("source <> 1").select("entity_id", "name", "country").join(parts.where("source = 1").select(F.col("entity_id").alias("s1"), F.col("name").alias("n1"), F.col("country").alias("c1")), F.expr("name = n1 AND country = c1")).select("s1", F.col("entity_id").alias("cand"))
-    fitted = model.fit_trees(linkage.training_pairs(parts, truth.unionByName(extra)).drop("is_val"), features.PRODUCTION, rounds=3, depth=3)
+    fitted = model.fit_trees(linkage.training_pairs(parts, truth.unionByName(extra)).drop("is_val"), features.PRODUCTION, rounds=3, depth=3, least=2)
     model.save(fitted, str(tmp_path / "m"))
     matches, _ = linkage.infer(parts, model.load(str(tmp_path / "m")), threshold=0.5)
     totals = linkage.evaluation(parts, truth, matches).first()
@@ -134,14 +134,62 @@ def test_empty_tables(spark, parts):
     assert decide.lists(linkage.spine(none), matches, "matches").count() == 0
 
 
-def test_command_line(spark, tmp_path):
-    folder = tmp_path / "data"
-    os.mkdir(folder)
+@pytest.fixture(scope="module")
+def folder(tmp_path_factory):
+    folder = tmp_path_factory.mktemp("data")
     head = "entity_id\tbusiness_name\tbusiness_address\tcountry\n"
+    order = [i * 7 % 30 for i in range(30)]
     for n in (1, 2, 3):
-        (folder / f"source{n}.tsv").write_text(head + "".join(f"S{n}-{i}\tfirm {i} word{i}\t{i + 10} Main Rd\tFR\n" for i in range(30)))
+        (folder / f"source{n}.tsv").write_text(head + "".join(f"S{n}-{i}\tfirm {i} word{i}\t{i + 10} Main Rd\t{'FR' if i % 2 else 'US'}\n" for i in order))
     (folder / "ground_truth.tsv").write_text("source1_entity_id\tmatched_entity_ids\n" + "".join(f"S1-{i}\tS2-{i},S3-{i}\n" for i in range(30)))
-    code = link_records.main([str(folder), str(tmp_path / "out"), "--all"])
-    assert code == 0
-    found = lists.read_truth(spark, str(tmp_path / "out" / "matching_results"))
+    return folder
+
+
+def test_command_line(spark, folder, tmp_path, capsys):
+    out = str(tmp_path / "out")
+    assert link_records.main([str(folder), out, "--all", "--rounds", "5", "--least", "2"]) == 0
+    found = lists.read_truth(spark, f"{out}/matching_results")
     assert found.where("substring(s1, 4) = substring(cand, 4)").count() == found.count() > 40
+    # the model and the pairs stay: nothing is trained or inferred again
+    before = {p: p.stat().st_mtime_ns for d in ("model", "by_country", "pairs") for p in (tmp_path / "out" / d).rglob("*") if p.is_file()}
+    assert link_records.main([str(folder), out, "--all"]) == 0
+    after = {p: p.stat().st_mtime_ns for d in ("model", "by_country", "pairs") for p in (tmp_path / "out" / d).rglob("*") if p.is_file() and "_SUCCESS" not in p.name}
+    assert {p: t for p, t in before.items() if "_SUCCESS" not in p.name} == after
+    assert link_records.main([str(folder), out, "--train", "--use-saved-pairs", "--rounds", "2", "--least", "2"]) == 0
+    capsys.readouterr()
+    assert link_records.main([str(folder), out, "--evaluate"]) == 0
+    assert "macro_f05" in capsys.readouterr().out
+
+
+def test_command_line_resumes_without_a_model(spark, folder, tmp_path):
+    import shutil
+
+    out = tmp_path / "out"
+    with pytest.raises(ValueError):
+        link_records.main([str(folder), str(out), "--infer"])
+    assert link_records.main([str(folder), str(out), "--infer", "--cascade", "--countries", "FR"]) == 0
+    part = out / "by_country" / "candidates" / "country=FR"
+    kept = sorted(p.name for p in part.iterdir())
+    assert link_records.main([str(folder), str(out), "--infer", "--validate", "--cascade"]) == 0
+    assert sorted(p.name for p in part.iterdir()) == kept  # only the other country was done
+    lines = next(p for p in (out / "matching_results").iterdir() if p.suffix == ".csv").read_text().split("\n")[1:-1]
+    assert [x.split("\t")[0] for x in lines] == [f"S1-{i * 7 % 30}" for i in range(30)]
+    shutil.rmtree(part)
+    assert lists.missing_countries(spark, linkage.spine(link_records.records(spark, str(folder))), str(out / "by_country" / "candidates")).collect()[0][0] == "FR"
+
+
+def test_tiered_validation(spark, parts):
+    totals = linkage.tiered_validation(parts, adapters.true_pairs(parts, "parts"), per_country=2).first()
+    assert 0 <= totals["macro_f05"] <= 1
+
+
+def test_tables_are_kept_under_a_name(spark, parts, tmp_path):
+    from tessera.sources import tables
+
+    kept = tables.materialise(parts.where("source = 1"), "kept_parts", str(tmp_path / "t"))
+    assert spark.sql("SELECT count(*) FROM kept_parts").first()[0] == kept.count() == parts.where("source = 1").count()
+
+
+def test_numbers_in_other_scripts(spark):
+    df = spark.createDataFrame([("१२ rue 12 x9 12",), (None,)], "addr string")
+    assert [r[0] for r in df.select(text.raw_numbers(F.col("addr"))).collect()] == [["१२", "12"], []]
