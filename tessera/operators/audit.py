@@ -72,7 +72,7 @@ def mismatches(pairs: DataFrame, column: str, n: int = 10) -> DataFrame:
     return pairs.where(F.col(f"s_{column}") != F.col(f"c_{column}")).orderBy("s1", "cand").limit(n)
 
 
-def positions(df: DataFrame, order: str, leaves: int = 256) -> DataFrame:
+def positions(df: DataFrame, order: str, leaves: int = 64) -> DataFrame:
     """``df`` plus ``position``, its row's number (from 1) in order of a numeric column without repeats.
 
     Rows are dealt by quantiles, numbered within each, and shifted by the
