@@ -5,10 +5,13 @@ Fingerprints of 5-word shingles that covering locality-sensitive hashing joins
 bits on average, more than covering masks of any bearable number reach, so the
 rest is found exactly: two sets that are alike share a shingle among the first
 fifth of both, in any order common to all texts (prefix filtering), and the
-first such shingle stands early enough in both (positional filter).  No pair
-is lost, and all candidates are confirmed on their texts.  Shingles that a
-sample of the texts repeats come last in the order, which keeps buckets short
-and changes no result.
+first such shingle stands early enough in both (positional filter), within the
+first ninth of the smaller one.  Of each set a bitmap keeps which bits an odd
+number of its hashes falls on: two bitmaps differ in no more bits than the sets
+in hashes, so candidates whose bitmaps differ in too many go before any text is
+read (bitmap filter).  No pair is lost, and all others are confirmed on their
+texts.  Shingles that a sample of the texts repeats come last in the order,
+which keeps buckets short and changes no result.
 
 Members of a bucket are first confirmed against a few leaders.  Pairs that this
 has joined already need no look; of the others every one is a candidate.
@@ -98,6 +101,13 @@ def _fingerprint(h: np.ndarray) -> int:
     return int(np.packbits(2 * counts > len(h), bitorder="little").view("<i8")[0])
 
 
+def _parity(h: np.ndarray) -> np.ndarray:
+    """A bitmap, as signed words, of the bits that an odd number of hashes falls on: 64 times a power of two, as many as hashes at least."""
+    size = 1 << max(6, (len(h) - 1).bit_length())
+    odd = np.bincount((h & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for found in shingles(batch.column(0).cast(pa.binary()).to_pylist()):
@@ -106,7 +116,7 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _prefixes(frequent: np.ndarray):
     """``frequent`` is sorted."""
-    schema = pa.schema([("node", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int32()), ("fp", pa.int64()), ("prefix", pa.list_(pa.int64()))])
+    schema = pa.schema([("node", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int32()), ("fp", pa.int64()), ("prefix", pa.list_(pa.int64())), ("bits", pa.list_(pa.int64()))])
 
     def is_frequent(h: np.ndarray) -> np.ndarray:
         if not len(frequent):
@@ -115,13 +125,15 @@ def _prefixes(frequent: np.ndarray):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, prints, prefixes = [], [], []
+            sizes, prints, prefixes, bits = [], [], [], []
             for h in shingles(batch.column(2).cast(pa.binary()).to_pylist()):
                 late = is_frequent(h)
                 sizes.append(len(h))
                 prints.append(_fingerprint(h))
                 prefixes.append(np.concatenate([h[~late], h[late]])[: len(h) // 5 + 1].view("<i8"))
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(sizes, pa.int32()), pa.array(prints, pa.int64()), pa.array(prefixes, schema.field(4).type)], schema=schema)
+                bits.append(_parity(h))
+            columns = [pa.array(sizes, pa.int32()), pa.array(prints, pa.int64()), pa.array(prefixes, schema.field(4).type), pa.array(bits, schema.field(5).type)]
+            yield pa.record_batch([batch.column(0), batch.column(1), *columns], schema=schema)
 
     return run
 
@@ -149,15 +161,33 @@ def _possible(a: str, b: str) -> Column:
     return F.expr(f"5 * least({a}.n, {b}.n) >= 4 * greatest({a}.n, {b}.n) AND 9 * least({a}.n - {a}.i, {b}.n - {b}.i) >= 4 * ({a}.n + {b}.n)")
 
 
-def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (u, v) that are alike, as a table."""
-    pairs = written(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "candidates")
+def _with_both(pairs: DataFrame, values: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
+    """Pairs (u, v) with the value of each side as x and y, and the table of the values asked for."""
     asked = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
-    wanted = written(texts.join(asked, "node", "left_semi").dropDuplicates(["node"]), "candidate_texts")
-    side = lambda n, t: wanted.select(F.col("node").alias(n), F.col("text").alias(t))
-    rows = pairs.join(side("u", "x"), "u").join(side("v", "y"), "v").select("u", "v", "x", "y")
+    wanted = written(values.select("node", column).join(asked, "node", "left_semi").dropDuplicates(["node"]), f"candidate_{column}")
+    side = lambda n, t: wanted.select(F.col("node").alias(n), F.col(column).alias(t))
+    return pairs.join(side("u", "x"), "u").join(side("v", "y"), "v").select("u", "v", "x", "y"), wanted
+
+
+def _differ() -> Column:
+    """In how many bits the bitmaps x and y differ, the longer one folded to the length of the other."""
+    folded = "aggregate(sequence(1, size({0}) div words - 1), slice({0}, 1, words), (s, k) -> zip_with(s, slice({0}, k * words + 1, words), (a, b) -> a ^ b))"
+    same = "IF(size({0}) = words, {0}, " + folded + ")"
+    bits = f"aggregate(zip_with({same.format('x')}, {same.format('y')}, (a, b) -> bit_count(a ^ b)), 0, (s, k) -> s + k)"
+    return F.expr(bits)
+
+
+def _links(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (u, v) that are alike, as a table; nodes (node, n, bits), texts (node, text)."""
+    pairs = written(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "candidates")
+    sketches = nodes.select("node", F.struct("n", "bits").alias("sketch"))
+    rows, asked = _with_both(pairs, sketches, "sketch")
+    rows = rows.selectExpr("u", "v", "x.n + y.n AS n", "x.bits AS x", "y.bits AS y", "least(size(x.bits), size(y.bits)) AS words")
+    close = written(rows.where(9 * _differ() <= F.col("n")).select("u", "v"), "close")
+    discard(pairs, asked)
+    rows, asked = _with_both(close, texts, "text")
     out = written(rows.mapInArrow(_confirmed, "u long, v long"), "confirmed")
-    discard(pairs, wanted)
+    discard(close, asked)
     return out
 
 
@@ -169,17 +199,19 @@ def _by_fingerprint(nodes: DataFrame) -> DataFrame:
 
 
 def links(nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """Edges (u, v) whose components are those of all pairs that are alike; nodes (node, n, fp, prefix), texts (node, text)."""
+    """Edges (u, v) whose components are those of all pairs that are alike; nodes (node, n, fp, prefix, bits), texts (node, text)."""
     rows = written(nodes.select("node", "n", F.posexplode("prefix").alias("i", "token")), "shingle_rows")
     # a table of its own, here and below: both sides of a join are plain exchanges, which a hot shingle may split
-    company = written(rows.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("token"), "company")
+    # a node has a token once; one of an alike pair has their first common token in its first ninth
+    shared = rows.groupBy("token").agg(F.count("*").alias("k"), F.max(F.expr("9 * i <= n")).alias("early"))
+    company = written(shared.where("k > 1 AND early").select("token"), "company")
     members = written(rows.join(company, "token"), "members")
     discard(rows, company)
     # a leader for texts of each size, with the fewest shingles of its own
     sized = members.groupBy("token", F.floor(F.log("n") / F.log(F.lit(1.25))).alias("size")).agg(F.min(F.struct("i", "node", "n")).alias("l"))
     leaders = sized.select("token", "l.*")
     stars = members.alias("a").join(leaders.alias("b"), "token").where(F.col("a.node") != F.col("b.node")).where(_possible("a", "b"))
-    first = _links(stars.select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).unionByName(_by_fingerprint(nodes)), texts)
+    first = _links(stars.select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).unionByName(_by_fingerprint(nodes)), nodes, texts)
     split = members.join(components(first), "node", "left").withColumn("root", F.coalesce("root", "node"))
     split = written(split, "members_by_class")
     discard(members)
@@ -191,7 +223,7 @@ def links(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     a, b = mixed.where("root <> main").alias("a"), mixed.alias("b")
     apart = F.expr("a.root <> b.root AND (b.root = b.main OR a.node < b.node)")
     rest = a.join(b, (F.col("a.token") == F.col("b.token")) & apart & _possible("a", "b"))
-    second = _links(rest.select(F.col("a.node").alias("u"), F.col("b.node").alias("v")), texts)
+    second = _links(rest.select(F.col("a.node").alias("u"), F.col("b.node").alias("v")), nodes, texts)
     discard(mixed)
     return first.unionByName(second)
 
@@ -208,8 +240,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     key = F.xxhash64(text_or_empty(text_col))
     own = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("_id"), key.alias("_key"))
     texts = docs.select(key.alias("node"), F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).where("doc_id IS NOT NULL")
-    prints = written(texts.mapInArrow(_prefixes(_frequent(texts)), "node long, doc_id long, n int, fp long, prefix array<long>"), "prefixes")
-    nodes = prints.where("n > 0").dropDuplicates(["node"]).select("node", "n", "fp", "prefix")
+    prints = written(texts.mapInArrow(_prefixes(_frequent(texts)), "node long, doc_id long, n int, fp long, prefix array<long>, bits array<long>"), "prefixes")
+    nodes = prints.where("n > 0").dropDuplicates(["node"]).select("node", "n", "fp", "prefix", "bits")
     roots = components(links(nodes, texts.select("node", "text")))
     least = prints.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"))
     root = F.when(F.col("n") > 0, F.coalesce("root", "node"))  # texts without words have none, and are one class

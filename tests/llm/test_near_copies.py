@@ -1,9 +1,11 @@
 import random
 
+import numpy as np
 import pytest
 from helpers import SMALL
 
 import corpus_pipeline
+from tessera.llm import near_copies
 
 
 def slow_kept(texts):
@@ -49,3 +51,29 @@ def test_stage_with_repeated_and_missing_identifiers(spark):
     rows = [(5, long), (5, long), (5, "quite another text that nobody else has"), (6, long + " more"), (None, long), (None, None)]
     got = dict(corpus_pipeline.STAGES)["simhash"](spark, spark.createDataFrame(rows, "doc_id long, text string"), SMALL)
     assert sorted(map(tuple, got.collect()), key=repr) == sorted([(5, long), rows[2], (None, long), (None, None)], key=repr)
+
+
+def test_bitmaps_differ_in_no_more_bits_than_sets(spark):
+    rng, rows, slow = np.random.default_rng(0), [], []
+    for n, m in [(1, 1), (5, 4), (64, 64), (64, 65), (130, 110), (1000, 1030), (3, 200), (2000, 100)]:
+        x = np.unique(rng.integers(0, 2**64, n, "u8"))
+        y = np.unique(np.concatenate([x[: m * 9 // 10], rng.integers(0, 2**64, m - m * 9 // 10, "u8")]))
+        a, b = near_copies._parity(x), near_copies._parity(y)
+        size = 64 * min(len(a), len(b))
+        odd = set()
+        for h in [*x.tolist(), *y.tolist()]:
+            odd ^= {h % size}
+        rows.append((a.tolist(), b.tolist(), size // 64))
+        slow.append((len(odd), len(np.setxor1d(x, y))))
+    df = spark.createDataFrame(rows, "x array<long>, y array<long>, words int").coalesce(1)
+    got = [r["d"] for r in df.select(near_copies._differ().alias("d")).collect()]
+    assert got == [d for d, _ in slow] and all(d <= most for d, most in slow)
+
+
+def test_links_of_sets_at_the_limit(spark):
+    """Likeness of exactly 0.8, equal and unequal sizes; one shingle less is no link."""
+    long = [f"w{i}" for i in range(94)]  # 90 shingles
+    texts = {1: " ".join(long), 2: " ".join(long[:76]), 3: " ".join(["q"] * 3 + long[20:]), 4: " ".join([f"z{i}" for i in range(10)] + long[10:])}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"] for r in near_copies.keep_one(df).collect()}
+    assert got == slow_kept(texts) == {1, 3}
