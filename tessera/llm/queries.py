@@ -22,10 +22,12 @@ from tessera.llm.toxicity import toxicity
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row with its group of equal texts (A-Z folded); the largest identifier stays. Null texts are empty ones."""
     return exact_dedup(documents(spark, sf_dir), keep="largest")
 
 
 def op2_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text and of its edited form, and their likeness; the last text's next is the first. Null texts are empty ones."""
     found = syncmers.edited_fingerprints(documents(spark, sf_dir))
     return found.select(
         "doc_id",
@@ -41,6 +43,7 @@ def op2_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines and deleted lines of every row, and a digest of what is left; a null text is one empty line."""
     found = deduplicated(documents(spark, sf_dir))
     return found.select("row.doc_id", "n_lines", "n_deleted", F.sha2("text", 256).alias("text_sha256"))
 
@@ -50,24 +53,29 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document; texts without words have fingerprint zero and are linked like any other."""
     found = near_duplicates(documents(spark, sf_dir), shingle=3, radius=2)
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score and prediction for every text; empty and null texts get the score of no features."""
     return quality_scores(documents(spark, sf_dir), _labels(spark, sf_dir))
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected severity, grade and decision for every text; empty and null texts get the rates of the thresholds."""
     return toxicity(documents(spark, sf_dir), _labels(spark, sf_dir))
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slot and shard of every document, by identifier, among 256 shards; a null text has no bytes."""
     placed = place(documents(spark, sf_dir), [f"shard-{i:03d}" for i in range(256)])
     return placed.select("row.doc_id", "slot", "shard", F.octet_length(F.coalesce("row.text", F.lit(""))).cast("long").alias("n_bytes"))
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and digest of the base spans and the list of all spans of every text; null and empty texts have none."""
     found = pii.spans(documents(spark, sf_dir))
     kinds = F.array(*[F.lit(k) for k in pii.KINDS])
     base = F.filter("spans", lambda s: s["base"])
@@ -90,6 +98,7 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each piece of every document; a document without text is its end id alone."""
     path = public_tokenizers.path("word_bpe_49k.json")
     return pack(documents(spark, sf_dir), path, end_id=2).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
