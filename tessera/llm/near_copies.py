@@ -164,7 +164,7 @@ def _possible(a: str, b: str) -> Column:
 def _with_both(pairs: DataFrame, values: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
     """Pairs (u, v) with the value of each side as x and y, and the table of the values asked for."""
     asked = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
-    wanted = written(values.select("node", column).join(asked, "node", "left_semi").dropDuplicates(["node"]), f"candidate_{column}")
+    wanted = written(values.select("node", column).join(asked, "node", "left_semi").dropDuplicates(["node"]), f"candidate_{column}", small=True)
     side = lambda n, t: wanted.select(F.col("node").alias(n), F.col(column).alias(t))
     return pairs.join(side("u", "x"), "u").join(side("v", "y"), "v").select("u", "v", "x", "y"), wanted
 
@@ -179,14 +179,14 @@ def _differ() -> Column:
 
 def _links(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (u, v) that are alike, as a table; nodes (node, n, bits), texts (node, text)."""
-    pairs = written(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "candidates")
+    pairs = written(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "candidates", small=True)
     sketches = nodes.select("node", F.struct("n", "bits").alias("sketch"))
     rows, asked = _with_both(pairs, sketches, "sketch")
     rows = rows.selectExpr("u", "v", "x.n + y.n AS n", "x.bits AS x", "y.bits AS y", "least(size(x.bits), size(y.bits)) AS words")
-    close = written(rows.where(9 * _differ() <= F.col("n")).select("u", "v"), "close")
+    close = written(rows.where(9 * _differ() <= F.col("n")).select("u", "v"), "close", small=True)
     discard(pairs, asked)
     rows, asked = _with_both(close, texts, "text")
-    out = written(rows.mapInArrow(_confirmed, "u long, v long"), "confirmed")
+    out = written(rows.mapInArrow(_confirmed, "u long, v long"), "confirmed", small=True)
     discard(close, asked)
     return out
 
@@ -204,8 +204,8 @@ def links(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     # a table of its own, here and below: both sides of a join are plain exchanges, which a hot shingle may split
     # a node has a token once; one of an alike pair has their first common token in its first ninth
     shared = rows.groupBy("token").agg(F.count("*").alias("k"), F.max(F.expr("9 * i <= n")).alias("early"))
-    company = written(shared.where("k > 1 AND early").select("token"), "company")
-    members = written(rows.join(company, "token"), "members")
+    company = written(shared.where("k > 1 AND early").select("token"), "company", small=True)
+    members = written(rows.join(company, "token"), "members", small=True)
     discard(rows, company)
     # a leader for texts of each size, with the fewest shingles of its own
     sized = members.groupBy("token", F.floor(F.log("n") / F.log(F.lit(1.25))).alias("size")).agg(F.min(F.struct("i", "node", "n")).alias("l"))
@@ -213,11 +213,11 @@ def links(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     stars = members.alias("a").join(leaders.alias("b"), "token").where(F.col("a.node") != F.col("b.node")).where(_possible("a", "b"))
     first = _links(stars.select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).unionByName(_by_fingerprint(nodes)), nodes, texts)
     split = members.join(components(first), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    split = written(split, "members_by_class")
+    split = written(split, "members_by_class", small=True)
     discard(members)
     classes = split.groupBy("token", "root").count().groupBy("token").agg(F.max(F.struct("count", "root")).alias("m"), F.count("*").alias("k"))
-    several = written(classes.where("k > 1").select("token", F.col("m.root").alias("main")), "mixed_tokens")
-    mixed = written(split.join(several, "token"), "mixed")
+    several = written(classes.where("k > 1").select("token", F.col("m.root").alias("main")), "mixed_tokens", small=True)
+    mixed = written(split.join(several, "token"), "mixed", small=True)
     discard(split, several)
     # two members of different classes: one of them at least is outside the bucket's main class
     a, b = mixed.where("root <> main").alias("a"), mixed.alias("b")

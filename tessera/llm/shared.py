@@ -31,13 +31,15 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, small: bool = False) -> DataFrame:
     """``df`` as a Parquet table in the shared folder.
 
     Cuts lineage so that a lost executor costs a re-read, not a recomputation,
     and so that a result which depends on the split of the input is computed
-    once only.
+    once only.  ``small`` tells that far less comes out than went in: its rows
+    are then moved together by their own size, instead of a file for each task.
     """
+    df = df.hint("rebalance") if small else df
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessera-{uuid.uuid4().hex}/{name}"
     df.write.option("compression", "zstd").parquet(path)

@@ -77,3 +77,29 @@ def test_links_of_sets_at_the_limit(spark):
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     got = {r["doc_id"] for r in near_copies.keep_one(df).collect()}
     assert got == slow_kept(texts) == {1, 3}
+
+
+def test_small_tables_are_few_files(spark, monkeypatch):
+    """What is left of many shingle rows is written by its own size, not as a file for each task that looked for it."""
+    rng, files, real = random.Random(2), {}, near_copies.written
+    texts = [[f"w{rng.randrange(100000)}" for _ in range(60)] for _ in range(1200)]
+    texts += [[*t[:-1], "edited"] for t in texts[:40]]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+
+    def counted(*args, **how):
+        table = real(*args, **how)
+        files.setdefault(args[1], []).append(len(table.inputFiles()))
+        return table
+
+    monkeypatch.setattr(near_copies, "written", counted)
+    settings = {"spark.sql.shuffle.partitions": "8", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "16k"}
+    was = {key: spark.conf.get(key) for key in settings}
+    try:
+        for key, value in settings.items():
+            spark.conf.set(key, value)
+        got = {r["doc_id"] for r in near_copies.keep_one(df).collect()}
+    finally:
+        for key, value in was.items():
+            spark.conf.set(key, value)
+    assert got == set(range(1200))
+    assert max(files["company"] + files["members"] + files["candidates"] + files["confirmed"]) == 1, files
