@@ -2,29 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.sources.tables import discard, kept, shared_dir  # noqa: F401
+
 #: Rows and bytes handed to Python at a time: texts can be long, so batches stay small.
 ARROW_ROWS, ARROW_BYTES = 256, 32 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; one of our own only where none is set and all runs in one process (tests)."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not spark.conf.get("spark.master", "local").split("[")[0] == "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        path = "file://" + tempfile.mkdtemp(prefix="tessera-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
 def small_batches(spark: SparkSession) -> None:
     """Bound the rows and the bytes of an Arrow batch, for this session; a longer text is a batch of its own."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
@@ -39,21 +28,7 @@ def written(df: DataFrame, name: str, small: bool = False) -> DataFrame:
     once only.  ``small`` tells that far less comes out than went in: its rows
     are then moved together by their own size, instead of a file for each task.
     """
-    df = df.hint("rebalance") if small else df
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tessera-{uuid.uuid4().hex}/{name}"
-    df.write.option("compression", "zstd").parquet(path)
-    table = spark.read.schema(df.schema).parquet(path)
-    table._written_at = path
-    return table
-
-
-def discard(*tables: DataFrame) -> None:
-    """Delete tables that ``written`` has made, once no plan to come reads them."""
-    for table in tables:
-        jvm, path = table.sparkSession._jvm, table._written_at
-        folder = jvm.org.apache.hadoop.fs.Path(path).getParent()
-        folder.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+    return kept(df.hint("rebalance") if small else df, name)
 
 
 def text_or_empty(name: str = "text") -> Column:

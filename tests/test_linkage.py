@@ -221,3 +221,19 @@ def test_copies_are_joined_once_and_told_for_all(spark, monkeypatch, kind):
     assert found.exceptAll(want).count() == 0 and want.exceptAll(found).count() == 0
     if joined:
         assert joined[0].count() <= 7 * 6  # classes, not the 3,600 pairs of their members
+
+
+@pytest.mark.parametrize("fit", [model.fit_trees, model.fit_forest])
+def test_equal_pairs_are_fitted_together(spark, monkeypatch, fit):
+    # six groups of equal pairs, two of them single; the last column of a row tells how often it comes
+    groups = [(0.1, 0, False, 300), (0.2, 0, False, 200), (0.2, 0, True, 1), (0.8, 1, False, 60), (0.9, 1, False, 1), (0.9, 1, True, 5)]
+    pairs = spark.createDataFrame([(v, label, val) for v, label, val, n in groups for _ in range(n)], "v double, label int, is_val boolean")
+    given, plain = [], model.Pipeline.fit
+    monkeypatch.setattr(model.Pipeline, "fit", lambda self, df: given.append(df) or plain(self, df))
+    fitted = fit(pairs, ["v"], depth=2, **({"rounds": 3, "least": 10} if fit is model.fit_trees else {}))
+    most = 10 if fit is model.fit_trees else model.DRAWN
+    got = {tuple(r)[:3]: (r["n"], round(r["w"], 6)) for r in given[0].groupBy("v", "label", "is_val").agg(F.count("*").alias("n"), F.sum("weight").alias("w")).collect()}
+    ratio = 501 / 66
+    assert got == {(v, label, val): (min(n, most), round(n * (ratio if label else 1.0), 6)) for v, label, val, n in groups}
+    p = {r["v"]: r["p"] for r in model.scores(fitted, pairs.select("v").distinct()).collect()}
+    assert max(p[0.1], p[0.2]) < 0.5 < min(p[0.8], p[0.9])
