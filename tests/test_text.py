@@ -142,3 +142,16 @@ def test_other_measures_against_slow_versions():
         other = [short[max(0, k) : k + len(long)] for k in range(1 - len(long), len(short))] if short and len(a) == len(b) else []
         want = max([ratio(short, w) for w in windows] + [ratio(long, w) for w in other], default=0.0 if long else 100.0)
         assert distance.partial_ratio(a, b) == pytest.approx(want)
+
+
+def test_damerau_of_many_pairs_equals_that_of_each():
+    import random
+
+    from tessera.functions import distance
+
+    draw = random.Random(7)
+    text_of = lambda letters, most: "".join(draw.choice(letters) for _ in range(draw.randint(0, most)))
+    pairs = [(text_of(k, 9), text_of(k, 9)) for k in ("ab", "abc", "0123456789 ", "aé漢\U0001f600") for _ in range(1500)]
+    pairs += [("x" * 100 + "ab", "ba" + "y" * 70), ("a", "b" * 64), ("", ""), ("", "a"), ("ca", "abc"), ("a\0b", "ab\0")]
+    assert distance.damerau_similarities(pairs) == [distance.damerau_similarity(a, b) for a, b in pairs]
+    assert distance.MANY["dl"](pairs) == [distance.MEASURES["dl"](a, b) for a, b in pairs]
